@@ -20,6 +20,7 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -166,6 +167,26 @@ class Remembered(dict):
             self.clear()
 
 
+class RememberedParts(Remembered):
+    """Tokens of what stands between two spaces (its space included) or, with its line break, begins a line."""
+
+    def __init__(self, words: Remembered, pattern, most: int = REMEMBERED):
+        super().__init__(words.table, most)
+        self.words, self.pattern = words, pattern
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        found = self.older.get(part)
+        if found is None:
+            found = tuple(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(part if part[0] == "\n" else " " + part))))
+            if len(part) > 200:
+                return found
+        self[part] = found
+        return found
+
+
+#: Gaps of more than one space or line break, and white space of other kinds.
+LONG_GAPS = ["  ", "\n ", " \n", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f"]
+OTHER_SPACE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 CLASSES = {"L": regex.compile(r"\p{L}*"), "N": regex.compile(r"\p{N}*"), "O": regex.compile(r"[^\s\p{L}\p{N}]*")}
 
 
@@ -238,10 +259,20 @@ class Codec:
         self.table = MergeTable(path)
         self.words = Remembered(self.table, remembered)
         self.pattern = regex.compile(PATTERN)
+        self.parts = RememberedParts(self.words, self.pattern, 2 * remembered)
         self.added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.table.added, key=len, reverse=True)) + ")") if self.table.added else None
         self.names = [str(k) for k in range(len(self.table.tokens))]
 
     def _plain(self, text: str) -> Iterator[list[int]]:
+        if len(text) <= SLICE and not (text[0].isspace() or text[-1] in " \n" or any(gap in text for gap in LONG_GAPS) or not text.isascii() and OTHER_SPACE.search(text)):
+            # every gap is one space or one line break, and pre-tokens never span the end of a word before a gap
+            first, *rest = text.replace("\n", " \n").split(" ")
+            ids = list(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(first))))
+            ids += chain.from_iterable(map(self.parts.__getitem__, rest))
+            self.words.trim()
+            self.parts.trim()
+            yield ids
+            return
         if len(text) <= SLICE:
             yield list(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(text))))
             self.words.trim()
