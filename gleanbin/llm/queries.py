@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanbin.llm import bagminhash, bpe_stream, chatfmt, langid, mixing, quality, warc
 from gleanbin.llm.common import table
 
 
@@ -13,11 +14,34 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op3_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gleanbin.llm import bpe_stream
+def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op1(table(spark, sf_dir, "pages"))
+
+
+def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
 
+def op3_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_stream,)}
-ORACLES: dict[str, str] = {}
+def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op4(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op5(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chatfmt.op6(table(spark, sf_dir, "conversations"))
+
+
+def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_index_merge, op2_bagminhash, op3_bpe_stream, op4_hierarchical_mixing, op5_language_id, op6_chat_format, op7_quality_cascade)}
+ORACLES: dict[str, str] = {"op1_warc_index_merge": warc.ORACLE, "op4_hierarchical_mixing": mixing.ORACLE, "op6_chat_format": chatfmt.ORACLE, "op7_quality_cascade": quality.ORACLE}
