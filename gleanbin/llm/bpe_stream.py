@@ -252,6 +252,18 @@ class ByteTextMachine:
         return self.machine.decode(b"", True)
 
 
+def simple_parts(text: str) -> tuple[str, list[str]]:
+    """A text whose every gap is one space or one line break, as its first word and the parts that begin with a gap.
+
+    A space is left out, a line break stays. Pre-tokens never span the end of a word before a gap, so parts can be looked
+    at one by one. Any other text comes back whole, with no parts.
+    """
+    if not text or text[0].isspace() or text[-1] in " \n" or any(gap in text for gap in LONG_GAPS) or not text.isascii() and OTHER_SPACE.search(text):
+        return text, []
+    first, *rest = text.replace("\n", " \n").split(" ")
+    return first, rest
+
+
 class Codec:
     """encode() and decode() of whole texts over the streaming parts."""
 
@@ -264,9 +276,8 @@ class Codec:
         self.names = [str(k) for k in range(len(self.table.tokens))]
 
     def _plain(self, text: str) -> Iterator[list[int]]:
-        if len(text) <= SLICE and not (text[0].isspace() or text[-1] in " \n" or any(gap in text for gap in LONG_GAPS) or not text.isascii() and OTHER_SPACE.search(text)):
-            # every gap is one space or one line break, and pre-tokens never span the end of a word before a gap
-            first, *rest = text.replace("\n", " \n").split(" ")
+        first, rest = simple_parts(text) if len(text) <= SLICE else (text, [])
+        if rest:
             ids = list(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(first))))
             ids += chain.from_iterable(map(self.parts.__getitem__, rest))
             self.words.trim()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanbin.llm import bagminhash, bpe_stream, chatfmt, langid, mixing, quality, warc
+from gleanbin.llm import bagminhash, bpe_stream, chatfmt, langid, lsh_forest, mixing, quality, tokencount, urltree, warc
 from gleanbin.llm.common import table
 
 
@@ -43,5 +43,17 @@ def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_index_merge, op2_bagminhash, op3_bpe_stream, op4_hierarchical_mixing, op5_language_id, op6_chat_format, op7_quality_cascade)}
+def op8_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.op10(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_index_merge, op2_bagminhash, op3_bpe_stream, op4_hierarchical_mixing, op5_language_id, op6_chat_format, op7_quality_cascade, op8_hash_prefix_forest, op9_trie_token_counts, op10_url_templates)}
 ORACLES: dict[str, str] = {"op1_warc_index_merge": warc.ORACLE, "op4_hierarchical_mixing": mixing.ORACLE, "op6_chat_format": chatfmt.ORACLE, "op7_quality_cascade": quality.ORACLE}
