@@ -80,8 +80,13 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
 
 def json_fingerprint(record: Column) -> Column:
     """Of each JSON record: its layout's fingerprint; null if it is no object."""
+
+    def inside(c: str) -> Column:
+        keys = F.json_object_keys(F.get_json_object(record, f"$.{c}[0]"))
+        return F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(f"{c}[]."), k)), F.array().cast("array<string>"))
+
     top = F.json_object_keys(record)
-    paths = F.flatten(F.array(top, *[F.coalesce(F.transform(F.json_object_keys(F.get_json_object(record, f"$.{c}[0]")), lambda k, c=c: F.concat(F.lit(f"{c}[]."), k)), F.array().cast("array<string>")) for c in CONTAINERS]))
+    paths = F.flatten(F.array(top, *[inside(c) for c in CONTAINERS]))
     known = F.array(*[F.lit(p) for p in KNOWN])
     return F.when(top.isNotNull(), F.md5(F.array_join(F.array_sort(F.array_intersect(paths, known)), "\n")))
 
