@@ -237,7 +237,7 @@ def _star(members: DataFrame, used: DataFrame | None, labels: DataFrame | None)
 
 def _unlike(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, with component."""
-    own = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = members.select("bucket", "node", "n", "size", "pop").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     own, _ = written(own, "own")
     mixed_, _ = written(own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "unlike")
     return written(own.join(mixed_, "bucket"), "unlike-members")[0]
