@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanbin.llm.common import discard, written
+from gleanbin.llm.common import Scratch, among, discard, written
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -192,7 +192,7 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
     """node, component (its smallest node) of the nodes of edges a, b: labels flow along edges and are looked up again."""
     spark = edges.sparkSession
     both, both_path = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    label, path = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "label")
+    label, path = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "label")
     while True:
         near = both.join(label.toDF("b", "_l"), "b").groupBy(F.col("a").alias("node")).agg(F.min("_l").alias("_near"))
         near, near_path = written(near, "near")
@@ -206,16 +206,16 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
             return label, path
 
 
-def _buckets(nodes: DataFrame) -> tuple[DataFrame, str]:
-    """bucket, node, n, pop of the buckets with several texts; pop: texts that a text meets, summed over its buckets."""
-    spark = nodes.sparkSession
-    all_, all_path = written(nodes.select("node", "n", F.explode("bands").alias("bucket")), "bands")
-    shared, shared_path = written(all_.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    member, member_path = written(all_.join(shared, "bucket").select("bucket", "node", "n", "size"), "member")
-    pop, pop_path = written(member.groupBy("node").agg(F.sum("size").alias("pop")), "pop")
-    out, path = written(member.join(pop, "node").select("bucket", "node", "n", "size", "pop"), "buckets")
-    discard(spark, all_path, shared_path, member_path, pop_path)
-    return out, path
+def _buckets(nodes: DataFrame, own: Scratch) -> DataFrame:
+    """bucket, node, n, size, pop of the buckets with several texts; pop: texts that a text meets, summed over its buckets."""
+    step = Scratch(nodes.sparkSession)
+    every = step.written(nodes.select("node", "n", F.explode("bands").alias("bucket")), "bands")
+    shared = step.written(every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    member = step.written(every.join(shared, "bucket").select("bucket", "node", "n", "size"), "member")
+    pop = step.written(member.groupBy("node").agg(F.sum("size").alias("pop")), "pop")
+    out = own.written(member.join(pop, "node").select("bucket", "node", "n", "size", "pop"), "buckets")
+    step.clear()
+    return out
 
 
 def _pair(x: str, y: str) -> list:
@@ -227,61 +227,69 @@ def _sized(n: str, m: str):
     return F.least(n, m) >= LEAST * F.greatest(n, m)
 
 
-def _star(members: DataFrame, used: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's most met text that was no pivot yet with all others of other components; the pivots."""
+def _star(members: DataFrame, used: DataFrame | None, own: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each bucket's most met text that was no pivot yet with all others; bucket, node of the pivots."""
     free = members if used is None else members.join(used, ["bucket", "node"], "left_anti")
-    pivot, _ = written(free.groupBy("bucket").agg(F.max(F.struct("pop", -F.col("node"), "node", "n")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivot")
+    pivot = own.written(free.groupBy("bucket").agg(F.max(F.struct("pop", -F.col("node"), "node", "n")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivot")
     pairs = members.join(pivot, "bucket").where((F.col("node") != F.col("pivot")) & _sized("n", "pivot_n"))
     return pairs.select(*_pair("node", "pivot")).distinct(), pivot.select("bucket", F.col("pivot").alias("node"))
 
 
-def _unlike(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with component."""
-    own = members.select("bucket", "node", "n", "size", "pop").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    own, _ = written(own, "own")
-    mixed_, _ = written(own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "unlike")
-    return written(own.join(mixed_, "bucket"), "unlike-members")[0]
+def _ring(members: DataFrame) -> DataFrame:
+    """Pairs of neighbours in an order of the bucket's own; a large bucket is several rings."""
+    turn = F.xxhash64("node", "bucket")
+    by = W.partitionBy("bucket", F.pmod(turn, F.ceil(F.col("size") / RING))).orderBy(turn)
+    near = members.withColumns({"near": F.lead("node").over(by), "near_n": F.lead("n").over(by)})
+    return near.where(F.col("near").isNotNull() & _sized("n", "near_n")).select(*_pair("node", "near"))
 
 
-def links(nodes: DataFrame, texts_of, most_rounds: int = 20) -> tuple[DataFrame, DataFrame | None]:
-    """Links a, b of at least LEAST, and labels of their components. nodes: node, n, bands; texts_of(ids): node, text."""
-    spark = nodes.sparkSession
-    members, _ = _buckets(nodes.where("n > 0"))
-    texts, _ = written(texts_of(members.select("node").distinct()), "texts")
-    pairs, used = _star(members, None, None)
-    found, labels, seen = None, None, None
-    for _ in range(most_rounds):
-        tried, _ = written(verified(pairs, texts), "tried")
+def _unlike(members: DataFrame, labels: DataFrame, own: Scratch) -> DataFrame:
+    """The members of buckets that hold several components."""
+    of = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = own.written(of, "labelled")
+    several = own.written(of.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "unlike")
+    return own.written(of.join(several, "bucket").select(*members.columns), "members")
+
+
+def links(nodes: DataFrame, texts_of, own: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links a, b of at least LEAST, and node, component of what they join; both read tables of own.
+
+    nodes: node, n, bands; texts_of(ids): node, text. Rounds end when one finds no link.
+    """
+    members = _buckets(nodes.where("n > 0"), own)
+    texts = own.written(texts_of(members.select("node").distinct()), "texts")
+    pairs, used = _star(members, None, own)
+    found = labels = seen = None
+    while True:
+        tried = own.written(verified(pairs, texts), "tried")
         new = tried.where(F.col("similarity") >= LEAST)
         if found is not None and not new.limit(1).count():
-            break
+            return found, labels
         found = new if found is None else found.unionByName(new)
         seen = tried.select("a", "b") if seen is None else seen.unionByName(tried.select("a", "b"))
-        labels, _ = components(found)
-        members = _unlike(members, labels)
-        star, pivots = _star(members.select("bucket", "node", "n", "size", "pop"), used, labels)
+        labels, path = components(found)
+        own.paths.append(path)
+        members = _unlike(members, labels, own)
+        star, pivots = _star(members, used, own)
         used = used.unionByName(pivots)
-        turn = F.xxhash64("node", "bucket")
-        by = W.partitionBy("bucket", F.pmod(turn, F.ceil(F.col("size") / RING))).orderBy(turn)  # rings of a large bucket
-        ring = members.withColumns({"near": F.lead("node").over(by), "near_n": F.lead("n").over(by)}).where(F.col("near").isNotNull() & _sized("n", "near_n")).select(*_pair("node", "near"))
-        pairs = star.unionByName(ring).distinct().join(labels.toDF("a", "_ca"), "a", "left").join(labels.toDF("b", "_cb"), "b", "left")
+        pairs = star.unionByName(_ring(members)).distinct().join(labels.toDF("a", "_ca"), "a", "left").join(labels.toDF("b", "_cb"), "b", "left")
         pairs = pairs.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b").join(seen, ["a", "b"], "left_anti")
-    return found, labels
 
 
 def classed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every row's doc_id and text digest h; and of each h its node (smallest doc_id) and class_id. Both written tables."""
-    sig, sig_path = written(signed(documents), "signed")
-    nodes, nodes_path = written(sig.groupBy("h").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    own = Scratch(documents.sparkSession)
+    sig = own.written(signed(documents), "signed")
+    nodes = own.written(sig.groupBy("h").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        t = documents.select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "node", "left_semi")
-        return t.dropDuplicates(["node"])
+        t = documents.select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+        return among(t, "node", own.written(ids, "ids")).dropDuplicates(["node"])
 
-    _, labels = links(nodes.where("node is not null").select("node", "n", "bands"), texts_of)
+    _, labels = links(nodes.where("node is not null").select("node", "n", "bands"), texts_of, own)
     classes, _ = written(nodes.join(labels, "node", "left").select("h", "node", F.coalesce("component", "node").alias("class_id")), "classes")
     rows, _ = written(sig.select("doc_id", "h"), "rows")
-    discard(documents.sparkSession, sig_path, nodes_path)
+    own.clear()
     return rows, classes
 
 

@@ -54,3 +54,38 @@ def words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row: bound to the lambda variable of a one-element transform."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+class Scratch:
+    """Written tables that go together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        df, path = written(df, tag)
+        self.paths.append(path)
+        return df
+
+    def clear(self) -> None:
+        discard(self.spark, *self.paths)
+        self.paths = []
+
+
+#: Bits of the filter that among() sends to all workers: 8 MB, whatever the number of ids.
+FILTER_BITS = 1 << 26
+
+
+def among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose key is in ids (one column of the same name), for few ids against many wide rows.
+
+    A bitmap of the ids' hashes, of fixed size, leaves out most other rows before the rows are shuffled for the exact
+    semi-join; where ids are so many that it fills, it only stops helping.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    bits = ids.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    hit = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = df.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_bucket")  # FILTER_BITS / 8 bytes at most
+    near = near.where(F.lit(1) == F.pmod(F.floor(hit / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2))).drop("_bucket", "_bits")
+    return near.join(ids, key, "left_semi")
