@@ -85,7 +85,7 @@ def resolve_prototypes(names: DataFrame, prototypes: DataFrame, like: bool = Fal
     """For each name the prototype of smallest id that has it; like takes names as LIKE patterns."""
     p = prototypes.withColumnRenamed("name", "proto_name")
     if like:
-        wild = names.where(F.col("name").rlike("[%_]")).join(p, F.col("proto_name").like(F.col("name")))
+        wild = names.where(F.col("name").rlike("[%_]")).join(p, F.like("proto_name", F.col("name")))
         plain = names.where(~F.col("name").rlike("[%_]")).join(p, F.col("proto_name") == F.col("name"))
         found = wild.unionByName(plain)
     else:
