@@ -136,7 +136,8 @@ def turn_rows(table: DataFrame) -> DataFrame:
     if m.rows:
         return table.select(*[F.col(c).alias(n) for c, n in zip(m.rows, ("conv_id", "turn", "role", "text"))]).withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
     key = F.col("conv_id") if "conv_id" in table.columns else F.xxhash64(*[F.to_json(F.col(c)) if "array" in t else F.col(c) for c, t in table.dtypes if c in KNOWN])
-    return table.select(key.alias("conv_id"), F.posexplode(turns(m, F.col)).alias("turn", "_t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "_t.role", "_t.text")
+    get = lambda p: F.col(p) if p in table.columns else F.lit(None).cast("string")
+    return table.select(key.alias("conv_id"), F.posexplode(turns(m, get)).alias("turn", "_t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "_t.role", "_t.text")
 
 
 def escaped(text: Column, role: bool = False) -> Column:

@@ -53,8 +53,8 @@ class Gru:
         self.inputs = rng.normal(0, 0.3, (257, 3 * hidden)).astype(np.float32)
         self.state = rng.normal(0, hidden**-0.5, (hidden, 3 * hidden)).astype(np.float32)
 
-    def forward(self, x: np.ndarray, keep: bool = False):
-        """States of bytes x (time, batch); with keep also what backward() needs."""
+    def forward(self, x: np.ndarray, keep: bool = False, valid: np.ndarray | None = None):
+        """States of bytes x (time, batch); with keep also what backward() needs. Where not valid the state is zero."""
         steps, batch = x.shape
         n = self.state.shape[0]
         h = np.zeros((batch, n), np.float32)
@@ -71,6 +71,8 @@ class Gru:
             if keep:
                 memory.append((h, z, r, new, own[:, 2 * n :]))
             h = new + z * (h - new)
+            if valid is not None:
+                h *= valid[t][:, None]
             states[t] = h
         return (states, memory) if keep else states
 
@@ -135,11 +137,11 @@ class Network:
         first, second, losses = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], []
         for step in range(1, steps + 1):
             y = rng.integers(len(self.langs), size=TRAIN_BATCH)
-            x = np.full((TRAIN_LENGTH, TRAIN_BATCH), 256, np.int16)
+            x = np.empty((TRAIN_LENGTH, TRAIN_BATCH), np.int16)
             for k, lang in enumerate(y):
                 w = by[lang][rng.integers(len(by[lang]))]
-                w = w[(at := rng.integers(max(1, len(w) - TRAIN_LENGTH + 1))) : at + TRAIN_LENGTH]
-                x[: len(w), k] = w
+                at = rng.integers(max(1, len(w) - TRAIN_LENGTH + 1))
+                x[:, k] = np.resize(w[at : at + TRAIN_LENGTH], TRAIN_LENGTH)  # a short one is repeated
             loss, grads = self.gradients(x, y)
             losses.append(loss)
             rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -165,8 +167,9 @@ class Network:
             where = begin[own][None, :] + np.arange(steps)[:, None]
             valid = np.arange(steps)[:, None] < size[own][None, :]
             x = np.where(valid, data[np.minimum(where, len(data) - 1)], 256).astype(np.int16)
+            some = None if valid.all() else valid[::-1]  # from the right, a short segment begins with what isn't there
             left = self.left.forward(x)
-            right = self.right.forward(x[::-1])[::-1]
+            right = self.right.forward(x[::-1], valid=some)[::-1]
             total = np.zeros((len(own), k), np.float32)
             for t in range(steps):
                 p = self._softmax(left[t] @ self.out[:n] + right[t] @ self.out[n:] + self.bias)
