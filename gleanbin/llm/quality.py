@@ -39,7 +39,7 @@ BASE = [Rule("few_words", "n_words < 10"), Rule("repeated_words", "100 * n_repea
 RULES = [
     Rule("few_letters", r"2 * length(regexp_replace(text, '[^\\p{L}]+', '')) < word_chars"),
     Rule("bullet_lines", r"10 * regexp_count(text, '(?m)^[ \\t]*[-*\u2022] ') > 9 * n_lines"),
-    Rule("dup_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("dup_lines", "n_dup_lines > 2 and 100 * n_dup_lines > 30 * n_lines"),
     Rule("symbols", "100 * n_symbols > 30 * n_words"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
 ]
@@ -148,6 +148,6 @@ m as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
   not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or 2 * letters < word_chars or 10 * bullets > 9 * n_lines
-    or 100 * n_dup_lines > 30 * n_lines or 100 * n_symbols > 30 * n_words or word_chars < 2 * n_words or word_chars > 20 * n_words) as kept
+    or (n_dup_lines > 2 and 100 * n_dup_lines > 30 * n_lines) or 100 * n_symbols > 30 * n_words or word_chars < 2 * n_words or word_chars > 20 * n_words) as kept
 from m
 """
