@@ -31,6 +31,8 @@ WEIGHTS = {"domain": {"web": 5, "books": 3, "reference": 2}, "lang": {"en": 4, "
 #: The budget, in hundredths of all tokens; the most epochs of a leaf; the seed.
 SHARE, EPOCHS, SEED = 60, 2, "mix-1"
 LEAF = [f"_{x}" for x in LEVELS]
+#: Parts in which a leaf's rows meet its budget, so that a leaf of most rows is dealt to many tasks.
+SALTS = 64
 
 
 def with_leaf(documents: DataFrame) -> DataFrame:
@@ -99,7 +101,9 @@ def mixed(documents: DataFrame, share: int = SHARE, epochs: int = EPOCHS, seed:
 
     def keyed(rows: DataFrame, by: DataFrame) -> DataFrame:
         key = F.md5(F.concat_ws("|", F.lit(seed), F.col("_whole").cast("string"), F.col("doc_id").cast("string")))
-        return rows.join(by, LEAF).withColumn("_key", key).withColumn("_d1", F.substring("_key", 1, 2)).withColumn("_d2", F.substring("_key", 3, 2))
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        every = by.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return salted.join(every, [*LEAF, "_salt"]).withColumn("_key", key).withColumn("_d1", F.substring("_key", 1, 2)).withColumn("_d2", F.substring("_key", 3, 2))
 
     first = keyed(lite, leaf.where("_want > 0")).groupBy(*LEAF, "_d1").agg(F.sum("_tokens").alias("_sum"), F.first("_want").alias("_want"))
     first = written(_boundary(first, LEAF, "_d1", "_want"), "first")[0]
