@@ -45,7 +45,7 @@ REGISTERS = BANDS * ROWS
 #: Shingles that are worked on at once; words whose hashes a worker remembers.
 BATCH, REMEMBERED = 200_000, 400_000
 #: Texts of a ring in which neighbours are compared, about.
-RING = 10_000
+RING = 1_000
 U = np.uint64
 ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
