@@ -206,3 +206,18 @@ def categories(tag: Column, patterns: list[str]) -> Column:
 def cardinality(df: DataFrame, vector: str) -> DataFrame:
     """distinct vectors, and how many rows share one on average."""
     return df.groupBy(vector).count().agg(F.count("*").alias("vectors"), F.avg("count").alias("mean_rows"))
+
+
+def flow_register_counts(flows: DataFrame) -> DataFrame:
+    """row, and for each argument register and rax how many taint flows (row, register) end in it."""
+    return flows.groupBy("row").agg(*[F.count_if(F.col("register") == r).alias(r) for r in sorted([*ARGUMENTS, "rax"])])
+
+
+def encoder_sample(own: Column, binary: Column, near: Column) -> Column:
+    """A training sample: the function's vector, its binary's, its neighbours'."""
+    return F.concat(own, binary, near)
+
+
+def final_embedding(code: Column, own: Column, near: Column, binary: Column) -> Column:
+    """The encoder's code with the quantitative vectors of the function, its neighbours and its binary."""
+    return F.concat(code, own, near, binary)

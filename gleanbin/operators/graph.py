@@ -229,3 +229,13 @@ def taint_closure(flows: DataFrame) -> DataFrame:
             return all_
         parts.append(path)
         all_ = spark.read.schema(base.schema).parquet(*parts)
+
+
+def with_potentials(nodes: DataFrame, scores: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """binary_id, name, role, potentials (idx -> p): the classifier's for defined nodes, one-hot for known imports.
+
+    scores: name, idx, p; vocabulary: name, idx. Imports that the vocabulary lacks are left out.
+    """
+    fitted = scores.groupBy("name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("idx", "p")))).alias("potentials"))
+    known = vocabulary.select("name", F.create_map("idx", F.lit(1.0)).alias("potentials"))
+    return nodes.where("role = 'defined'").join(fitted, "name").unionByName(nodes.where("role = 'import'").join(known, "name"), allowMissingColumns=True).select("binary_id", "name", "role", "potentials")

@@ -556,3 +556,192 @@ def xml_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     props = y.groupBy("label").agg(F.count("*").alias("n_t")).select("label", vocab.inverse_propensity(F.col("n_t"), F.lit(float(max(n, 3)))).alias("inv_prop"))
     model = learning.train_ensemble(x.where(split), y.where(split), props, trees=16)
     return learning.predict_ensemble(x.where(~split), model)
+
+
+# --- more of the store ------------------------------------------------------------------------------------------------------
+
+
+@query("select distinct p_brand as path from part")
+def distinct_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.paths(table(spark, sf_dir, "part").select(F.col("p_brand").alias("path")))
+
+
+@query(f"with {BINARIES} select id from b where path = '/bin/7'")
+def id_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.id_of(binaries(spark, sf_dir), "/bin/7")
+
+
+@query("select c_custkey, c_name from customer where c_nationkey in (select n_nationkey from nation where n_regionkey = 1)")
+def ids_among(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = table(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_nationkey")
+    return store.among(table(spark, sf_dir, "customer"), "c_nationkey", chosen).select("c_custkey", "c_name")
+
+
+@query("select n_nationkey as id from nation where regexp_matches(n_name, '[A-Z].*[13579]$')")
+def libraries_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.resolve_library(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), "[A-Z].*[13579]$")
+
+
+@query("select o_orderkey as id from orders where o_orderkey not in (select o_orderkey from orders where o_orderkey % 3 = 0)")
+def embedding_work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    done = o.where("id % 3 <= 1").select(F.col("id").alias("function_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0))).alias("embedding"))
+    return store.without_embeddings(o, done)
+
+
+@query(f"with {FUNCTIONS}, {BINARIES}, e as (select vec_id * 100 + 1 as id, label from embeddings) select f.id, path, label from f join b on b.id = f.binary_id join e on e.id = f.id")
+def functions_with_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = functions(spark, sf_dir).withColumn("binding", F.lit("GLOBAL"))
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") * 100 + 1).alias("function_id"), "embedding", "label")
+    return store.with_embeddings(f, binaries(spark, sf_dir), e).select("id", "path", "label")
+
+
+@query("select distinct len(string_split(p_name, ' '))::int as size from part")
+def distinct_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.distinct_sizes(table(spark, sf_dir, "part").select(F.split("p_name", " ").alias("a")), "a")
+
+
+@query("select p_name as name, string_agg(p_size::varchar, ',' order by p_size) as sizes, string_agg(distinct p_brand, ',' order by p_brand) as paths from part group by p_name")
+def grouped_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), "p_size", F.col("p_brand").alias("path"))
+    g = store.grouped_by_name(p, "p_size")
+    return g.select("name", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("sizes"), F.array_join("paths", ",").alias("paths"))
+
+
+@query("select p_name as name from part group by p_name having not bool_or(p_size % 2 = 1)")
+def static_only_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.when(F.col("p_size") % 2 == 1, "dynamic").otherwise("static").alias("linkage"))
+    return store.static_only(p)
+
+
+@query("select p_partkey from part where not regexp_matches(p_brand, '(?i)brand#1')")
+def unknown_binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.by_library_path(table(spark, sf_dir, "part").withColumn("path", F.col("p_brand")), "brand#1", known=False).select("p_partkey")
+
+
+@query("select distinct p_name as name, case when d is not null then 'defined' when i is not null then 'imported' when q is not null then 'prototype' end as source, coalesce(d, i, q) as value from part left join (select p_name as n, min(p_partkey) as d from part where p_size < 10 group by 1) on n = p_name left join (select p_name as n2, min(p_partkey) as i from part where p_size < 30 group by 1) on n2 = p_name left join (select p_name as n3, min(p_partkey) as q from part where p_size < 45 group by 1) on n3 = p_name")
+def symbol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("value"), "p_size")
+    return store.symbol_lookup(p.select("name").distinct(), p.where("p_size < 10"), p.where("p_size < 30"), p.where("p_size < 45"))
+
+
+@query("with s as (select s_suppkey as binary_id, unnest([s_nationkey, s_suppkey % 30]) as k from supplier), l as (select n_nationkey as k from nation) select binary_id, bool_and(l.k is not null) as complete, case when bool_and(l.k is not null) then string_agg(distinct l.k::varchar, ',' order by l.k::varchar) else '' end as ids from s left join l using (k) group by binary_id")
+def linked_libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    soname = lambda c: F.concat(F.lit("libn"), c.cast("string"), F.lit(".so.6"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("binary_id"), F.explode(F.array(F.col("s_nationkey").cast("long"), F.col("s_suppkey") % 30)).alias("k"))
+    libs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("/usr/lib/libn"), F.col("n_nationkey").cast("string"), F.lit(".so")).alias("name"))
+    found = store.linked_libraries(s.select("binary_id", soname(F.col("k")).alias("soname")), libs)
+    return found.select("binary_id", "complete", F.array_join(F.array_sort(F.transform("library_ids", lambda x: x.cast("string"))), ",").alias("ids"))
+
+
+@query(f"with {BINARIES} select case when id % 2 = 0 then 'train' else 'test' end as split, id from b where bin_type = 'executable'")
+def remapped_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = binaries(spark, sf_dir)
+    old = b.select(F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("split"), "path")
+    return store.remap_splits(old, b, store.of_kind(b, "executable").select("id"))
+
+
+@query("select e.vec_id from embeddings e where vec_id in (select vec_id from embeddings where label < 5) and vec_id in (select vec_id from embeddings where vec_id % 2 = 0)")
+def in_all_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return vocab.in_all(e, e.where("label < 5"), e.where("vec_id % 2 = 0"), key="vec_id").select("vec_id")
+
+
+# --- more features, graphs and programs -------------------------------------------------------------------------------------
+
+
+@query("select l_orderkey as function_id, count(distinct l_partkey) as ntemp_vars, string_agg(l_returnflag, ',' order by l_returnflag) as operations from lineitem group by l_orderkey")
+def block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = lineitem(spark, sf_dir)
+    s = l.select(F.col("l_orderkey").alias("function_id"), F.lit(0).alias("bb_idx"), F.lit("Put").alias("kind"), F.col("l_returnflag").alias("operation"), F.col("l_partkey").alias("temp"), F.lit(None).cast("decimal(20,0)").alias("constant"), F.lit(None).cast("decimal(20,0)").alias("target"))
+    return features.block_counts(s).select("function_id", "ntemp_vars", F.array_join("operations", ",").alias("operations"))
+
+
+@query("select p_partkey, regexp_matches(p_name, '^[a-m]')::int as a, regexp_matches(p_name, '^s')::int as s from part")
+def category_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = features.categories(F.col("p_name"), ["[a-m]", "s"])
+    return table(spark, sf_dir, "part").select("p_partkey", c[0].alias("a"), c[1].alias("s"))
+
+
+@query("select count(*) as vectors, avg(n) as mean_rows from (select p_size, count(*) as n from part group by 1)")
+def vector_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.cardinality(table(spark, sf_dir, "part"), "p_size")
+
+
+@query("with c as (select l_orderkey as f, l_linenumber as b, l_partkey % 8 as t, case when l_returnflag = 'R' then 'Ijk_Call' when l_returnflag = 'A' then 'Ijk_SigFPE' else 'Ijk_Boring' end as j from lineitem), k as (select distinct f, b, t, j from c where j <> 'Ijk_SigFPE') select distinct f as function_id, b::bigint as src, t as dst, j as jumpkind from k where j <> 'Ijk_Call' and exists (select 1 from c where c.f = k.f and c.b = k.t)")
+def cfg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = lineitem(spark, sf_dir)
+    kind = F.when(F.col("l_returnflag") == "R", "Ijk_Call").when(F.col("l_returnflag") == "A", "Ijk_SigFPE").otherwise("Ijk_Boring")
+    exits = l.select(F.col("l_orderkey").alias("function_id"), F.col("l_linenumber").cast("long").alias("start"), (F.col("l_partkey") % 8).alias("target"), kind.alias("jumpkind"))
+    return graph.cfg_edges(exits, exits.select("function_id", "start").distinct())[0]
+
+
+@query("with h as (select l_orderkey as graph, md5(string_agg(l_returnflag, ',' order by l_returnflag)) as hash from lineitem group by 1) select graph, min(graph) over (partition by hash) as first from h")
+def unique_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = lineitem(spark, sf_dir).select(F.col("l_orderkey").alias("graph"), F.col("l_linenumber").alias("node"), F.col("l_returnflag").alias("label"))
+    return graph.unique_graphs(graph.graph_hashes(l))
+
+
+@query(f"with {EDGES}, a as (select src, count(*)::double as n from e group by src), b as (select e.src, sum(coalesce(a.n, 0)) as n from e left join a on a.src = e.dst group by e.src) select a.src as node, a.n as one, b.n as two from a join b using (src)")
+def hop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = graph.hop_counts(line_edges(spark, sf_dir), 2)
+    return h.select("node", F.col("vector")[0].alias("one"), F.col("vector")[1].alias("two"))
+
+
+@query("select p_partkey, case p_size % 3 when 0 then 'static' else 'dynamic' end as linkage, case p_size % 2 when 0 then 'gcc' else 'unknown' end as compiler, 'o' || (p_size % 4) as optimisation from part")
+def inferred_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    segment = F.when(F.col("p_size") % 2 == 0, "gcc").otherwise("other")
+    b = p.select("p_partkey", F.concat(F.lit("/B/"), segment, F.lit("/O"), (F.col("p_size") % 4).cast("string"), F.lit("/x")).alias("path"), (F.col("p_size") % 3 == 0).alias("static"), F.lit("unknown").alias("compiler"))
+    return intervals.inferred_parameters(b).select("p_partkey", "linkage", "compiler", "optimisation")
+
+
+@query("select distinct p_name as real_name, p_size as size, p_partkey % 100 as vaddr from part where p_size <= 40 and p_partkey % 3 <> 0")
+def extracted_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_name").alias("real_name"), F.when(F.col("p_partkey") % 3 == 0, "OBJECT").otherwise("FUNC").alias("type"), F.lit("GLOBAL").alias("binding"), F.col("p_size").alias("size"), (F.col("p_partkey") % 100).alias("vaddr"), F.encode("p_name", "utf-8").alias("data"))
+    return intervals.extracted_symbols(p, largest=40)[0].select("real_name", "size", "vaddr")
+
+
+@query("select p_partkey::decimal(20,0) as vaddr, p_size::decimal(20,0) as size, 'sub_' || p_partkey as name from part")
+def boundary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hexed = lambda c: F.lower(F.hex(c))
+    text = F.concat(F.lit("(sub_"), F.col("p_partkey").cast("string"), F.lit(" "), hexed(F.col("p_partkey")), F.lit(" "), hexed(F.col("p_partkey") + F.col("p_size")), F.lit(")"))
+    return intervals.bap_functions(table(spark, sf_dir, "part").select(text.alias("value")))
+
+
+@query("select c_custkey // 100 as function_id, 't' || (c_custkey % 100) as var, case when c_nationkey % 2 = 0 then 'r' || c_nationkey else 'm' || c_nationkey end as depends from customer where c_custkey % 100 > 0 union select c_custkey // 100, 'x' || (c_custkey % 100), 't' || (c_custkey % 100) from customer where c_custkey % 100 > 0 union select c_custkey // 100, 'x' || (c_custkey % 100), case when c_nationkey % 2 = 0 then 'r' || c_nationkey else 'm' || c_nationkey end from customer where c_custkey % 100 > 0")
+def data_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").where("c_custkey % 100 > 0").select(F.expr("c_custkey div 100").alias("function_id"), (F.col("c_custkey") % 100).cast("string").alias("k"), "c_nationkey")
+    leaf = F.concat(F.when(F.col("c_nationkey") % 2 == 0, "r").otherwise("m"), F.col("c_nationkey").cast("string"))
+    uses = c.select("function_id", F.concat(F.lit("t"), "k").alias("var"), leaf.alias("depends")).union(c.select("function_id", F.concat(F.lit("x"), "k"), F.concat(F.lit("t"), "k")))
+    return dataflow.data_dependencies(uses)
+
+
+@query("select label, (select count(*) from embeddings)::double / ((select count(distinct label) from embeddings) * count(*)) as weight from embeddings group by label")
+def balanced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.balanced_weights(table(spark, sf_dir, "embeddings"))
+
+
+@query(f"with {EDGES}, m as (select e.dst as row, avg(l_quantity) as v from e join lineitem on l_orderkey * 100 + l_linenumber = e.src group by e.dst) select row, 0 as pos, round(v * 2 + 1, 6) as value from m union all select row, 1, round(v * -0.5 + 3, 6) from m")
+def neighbour_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = lines(spark, sf_dir).select(F.col("id").alias("row"), F.lit(0).alias("pos"), F.col("size").cast("double").alias("value"))
+    out = learning.neighbour_layer(line_edges(spark, sf_dir), values, [[2.0, -0.5]], [1.0, 3.0])
+    return out.select("row", F.col("pos").cast("int").alias("pos"), F.round("value", 6).alias("value"))
+
+
+@query()
+def encoded_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").cast("array<double>").alias("vector"))
+    return learning.encoded(e, code=8, epochs=3)
+
+
+@query()
+def principal_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").alias("vector"))
+    return learning.principal_axes(e, 4)
+
+
+@query()
+def node_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("binary_id"), F.col("s_suppkey").alias("src"), F.expr("s_suppkey div 2").alias("dst"))
+    return graph.node_embedding(f, size=8, rounds=2)
