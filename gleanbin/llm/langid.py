@@ -189,10 +189,11 @@ def fitted(documents: DataFrame) -> Network | None:
     return network
 
 
-def predict(documents: DataFrame, network: Network | None, keep: list[str]) -> DataFrame:
-    """keep (plain columns), lang_pred and score of every row."""
-    rows = documents.select(*[F.col(c) for c in keep], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"), F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]) + ", lang_pred string, score double"
+def _predicted(documents: DataFrame, network: Network | None, keep: list[str]) -> DataFrame:
+    """keep as _k0, _k1, ..., then _lang and _score, so that no name of the input can clash."""
+    rows = documents.select(*[F.col(f"`{c}`").alias(f"_k{k}") for k, c in enumerate(keep)], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"), F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
+    names = [f"_k{k}" for k in range(len(keep))]
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]], "_lang string", "_score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,11 +210,16 @@ def predict(documents: DataFrame, network: Network | None, keep: list[str]) -> D
                     mean = sums / np.maximum(lengths, 1)[:, None]
                     pred = np.where(lengths > 0, np.array(network.langs, object)[mean.argmax(axis=1)], UNKNOWN)
                     score = np.where(lengths > 0, np.clip(mean.max(axis=1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "_lang", "_score"])
 
     return rows.mapInArrow(run, schema)
 
 
+def predict(documents: DataFrame, network: Network | None, keep: list[str]) -> DataFrame:
+    """keep (plain columns), lang_pred and score of every row."""
+    return _predicted(documents, network, keep).toDF(*keep, "lang_pred", "score")
+
+
 def op5(documents: DataFrame) -> DataFrame:
     d = documents.select("doc_id", "text", "lang")
     return predict(d.withColumn("held_out", held_out()), fitted(d), ["doc_id", "held_out"])
@@ -223,4 +229,5 @@ def identified(documents: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows whose language is identified with a score of least or more, with their own columns."""
     network = fitted(documents.select("doc_id", "text", "lang"))
     names = documents.columns
-    return predict(documents, network, names).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)
+    found = _predicted(documents, network, names).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least))
+    return found.select(*[F.col(f"_k{k}").alias(c) for k, c in enumerate(names)])

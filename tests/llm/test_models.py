@@ -48,6 +48,12 @@ def test_language_without_training_rows(spark):
     assert langid.op5(d.limit(0)).count() == 0
 
 
+def test_clashing_names_pass(spark):
+    d = spark.createDataFrame([(k, "the of and that with " * 9, "en", "s", 0.5) for k in range(9)] + [(9, "12", "en", "s", 0.5)], "doc_id long, text string, lang string, lang_pred string, score double")
+    kept = langid.identified(d)
+    assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(9))
+
+
 def test_segments_do_not_mix_documents():
     net = langid.Network(["a", "b"], seed=3)
     texts = [bytes([65 + k % 7]) * (1 + 97 * k) for k in range(9)]
