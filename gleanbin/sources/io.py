@@ -109,10 +109,21 @@ def parse_matrix(lines: DataFrame) -> DataFrame:
     return cells.select("row", F.split_part("c", F.lit(":"), F.lit(1)).cast("int").alias("idx"), F.split_part("c", F.lit(":"), F.lit(2)).cast("double").alias("value"))
 
 
+def line_numbers(spark: SparkSession, path: str) -> DataFrame:
+    """line_no (from 0), value of a text folder: files by name, lines in order, without one global sort.
+
+    Ids rise along each split that is read; the lines of all splits before it are added. Only a row a split is ordered.
+    """
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).select("value", *split, F.monotonically_increasing_id().alias("i"))
+    sizes = lines.groupBy("file", "start").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(sizes.withColumn("before", before).drop("n"), ["file", "start"]).select((F.col("before") + F.col("i") - F.col("first")).alias("line_no"), "value")
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """row, idx, value of a written matrix; lines are numbered by file and place in it."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i"))
-    return parse_matrix(lines.withColumn("line_no", F.row_number().over(W.orderBy("f", "i")) - 1))
+    """row, idx, value of a written matrix."""
+    return parse_matrix(line_numbers(spark, path))
 
 
 def numbered_lines(items: DataFrame, value: str, pattern: str = "%s") -> DataFrame:

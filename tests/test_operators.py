@@ -189,6 +189,13 @@ def test_matrix_text_round_trip(spark, tmp_path):
     assert rows(io.read_matrix(spark, str(tmp_path / "m")), "row", "idx", "value") == [(0, 0, 1.0), (0, 2, 0.5)]
 
 
+def test_line_numbers_over_many_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part-{k}").write_text("".join(f"{k}-{j}\n" for j in range(4 - k)))
+    got = [r["value"] for r in io.line_numbers(spark, str(tmp_path)).orderBy("line_no").collect()]
+    assert got == ["0-0", "0-1", "0-2", "0-3", "1-0", "1-1", "1-2", "2-0", "2-1"]
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([(1, "A", "x")], "id int, a string, b string")
     new = spark.createDataFrame([(1, "B"), (2, "C")], "id int, a string")
