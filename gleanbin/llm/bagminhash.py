@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanbin.llm.common import Scratch, among, discard, written
+from gleanbin.llm.common import Scratch, among, discard, give_back, written
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -153,6 +153,8 @@ def signed(documents: DataFrame) -> DataFrame:
                     ids, digests, parts, held = [], [], [], 0
             if ids:
                 yield emit(ids, digests, parts)
+        cache.clear()
+        give_back()
 
     text = F.coalesce("text", F.lit(""))
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("h"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, h string, n long, bands array<long>")

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts longer than this go through the encoder in slices of this many characters.
 SLICE = 1 << 16
-#: Distinct pre-tokens that a worker remembers, in each of two generations.
-REMEMBERED = 250_000
+#: Distinct pre-tokens that a worker remembers in each of two generations; four times as many parts between gaps.
+REMEMBERED = 60_000
 NO_MERGE = 1 << 30
 
 
@@ -271,7 +271,7 @@ class Codec:
         self.table = MergeTable(path)
         self.words = Remembered(self.table, remembered)
         self.pattern = regex.compile(PATTERN)
-        self.parts = RememberedParts(self.words, self.pattern, 2 * remembered)
+        self.parts = RememberedParts(self.words, self.pattern, 4 * remembered)
         self.added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.table.added, key=len, reverse=True)) + ")") if self.table.added else None
         self.names = [str(k) for k in range(len(self.table.tokens))]
 

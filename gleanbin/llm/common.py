@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -46,6 +47,17 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system, as workers stay for later stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; empty for null or blank texts."""
     return F.when(F.coalesce(F.btrim(text, F.lit(GAP_CHARS)), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.btrim(text, F.lit(GAP_CHARS)), WORD_GAP))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanbin.llm.common import give_back
+
 #: Bounds of the sample: languages, documents of each, windows of each, characters of a window.
 LANGUAGES, BUCKETS, WINDOWS, WINDOW = 64, 256, 6, 96
 HIDDEN, STEPS, TRAIN_LENGTH, TRAIN_BATCH, RATE, SEED = 8, 320, 48, 256, 0.02, 7
@@ -211,6 +213,7 @@ def _predicted(documents: DataFrame, network: Network | None, keep: list[str]) -
                     pred = np.where(lengths > 0, np.array(network.langs, object)[mean.argmax(axis=1)], UNKNOWN)
                     score = np.where(lengths > 0, np.clip(mean.max(axis=1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "_lang", "_score"])
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
