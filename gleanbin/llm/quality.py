@@ -129,7 +129,10 @@ def judge(documents: DataFrame, rules: list[Rule] = RULES, ordered: list[Rule] |
 def kept_documents(documents: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """The rows that no rule rejects, with their own columns."""
     names = documents.columns
-    return measured(documents, names).where(verdict(order(documents, rules)).isNull()).select(*names)
+    ordered = order(documents, rules)
+    # a filter moves below the measures and repeats them for each rule, unless it reads a column that depends on the row's place
+    held = measured(documents, names).withColumn("_place", F.monotonically_increasing_id())
+    return held.where(verdict(ordered).isNull() & (F.col("_place") >= 0)).select(*names)
 
 
 ORACLE = r"""
