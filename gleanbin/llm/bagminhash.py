@@ -10,13 +10,16 @@ similarity. Points are made in rising time, and a process ends once it is later
 Bands. 32 bands of 6 registers: texts of similarity 0.8 share a bucket with a probability of 0.99994. Copies of a text are
 first gathered by its digest, so buckets hold different texts only.
 
-Verification. In a bucket, each text is compared with one pivot, the text that shares most buckets (most likely the
-original of its copies), never each with each. Texts of at least 0.8 by their true multisets are linked. Then, as long as
-links are found, buckets that still hold several components get the next pivot and, in an order of the band's own, each
-text is compared with its neighbours; only pairs of different components and not compared before. Components of the
-links are the classes. No text is dropped from a bucket, and no bucket is too large: a bucket costs a few comparisons a
-text. What can be missed, besides the bands' own odds, is a link whose two texts are in each bucket they share apart
-from the pivots and neighbours tried; tests hold the classes against brute force.
+Verification. In a bucket, each text is first compared with one pivot, the text that shares most buckets (most likely the
+original of its copies). Texts of at least 0.8 by their true multisets are linked. Then, as long as links are found,
+buckets that still hold several components get the next pivot and, in an order of the band's own, each text is compared
+with its neighbours; only pairs of different components and not compared before. These rounds only save work: what they
+leave, each pair of different components in each bucket that holds several, is compared in full at the end. A large
+bucket is dealt to blocks and each block meets each; there, shingles common to two texts are counted by their hashes,
+which can't miss a pair, and pairs that reach 0.8 are verified by their texts. So every pair that shares a bucket is
+compared or joined already, and components of the links are the classes. A bucket whose m texts stay in different
+components costs m^2 / 2 such counts. What can be missed is the bands' own odds alone; tests hold the classes against
+brute force.
 
 Defined cases: null text is empty; texts of fewer than five words have one shingle, of all their words; texts without a
 word are in a class with equal texts only; class_id is the smallest doc_id of the class; rows of one doc_id with
@@ -46,6 +49,8 @@ REGISTERS = BANDS * ROWS
 BATCH, REMEMBERED = 200_000, 400_000
 #: Texts of a ring in which neighbours are compared, about.
 RING = 1_000
+#: Texts and shingles, about, of a block in which each text is compared with each; texts that make a shingle frequent.
+BLOCK, BLOCK_ITEMS, FREQUENT = 512, 500_000, 32
 U = np.uint64
 ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -253,19 +258,102 @@ def _unlike(members: DataFrame, labels: DataFrame, own: Scratch) -> DataFrame:
     return own.written(of.join(several, "bucket").select(*members.columns), "members")
 
 
+def elements(texts: DataFrame) -> DataFrame:
+    """node, items of texts: a hash for each shingle and time it occurs, so that multisets overlap as sets of these do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            parts = []
+            for text in batch.column(1):
+                h = np.sort(shingle_hashes(text.as_py().split(), cache))
+                at = np.arange(len(h))
+                first = np.maximum.accumulate(np.where(np.concatenate([[True], h[1:] != h[:-1]]), at, 0)) if len(h) else at
+                parts.append(mixed(h + (at - first).astype(U) * ODD[1]).view(np.int64))
+            ends = np.cumsum([0] + [len(x) for x in parts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))], ["node", "items"])
+        cache.clear()
+        give_back()
+
+    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, items array<long>")
+
+
+def in_common(items: np.ndarray, owner: np.ndarray, n: int, left: int) -> np.ndarray:
+    """Of n sets, how many items each of the first left ones shares with each of the others; with each later one, if left = n."""
+    by = np.argsort(items, kind="stable")
+    items, owner = items[by], owner[by]
+    starts = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]])) if len(items) else np.empty(0, int)
+    times = np.diff(np.concatenate([starts, [len(items)]]))
+    of = np.repeat(times, times)
+    out = np.zeros((n, n), np.int64)
+    rare = (of > 1) & (of < FREQUENT)
+    e, o = items[rare], owner[rare]
+    for k in range(1, FREQUENT):  # rows of one item stand together, by owner
+        same = e[k:] == e[:-k]
+        if not same.any():
+            break
+        out += np.bincount(o[:-k][same] * n + o[k:][same], minlength=n * n).reshape(n, n)
+    out = out if left == n else out[:left, left:]
+    often = np.flatnonzero(times >= FREQUENT)
+    column = np.repeat(np.arange(len(often)), times[often])
+    o = owner[of >= FREQUENT]
+    for at in range(0, len(often), 2048):
+        a, b = np.searchsorted(column, [at, at + 2048])
+        x = np.zeros((n, min(2048, len(often) - at)), np.float32)
+        x[o[a:b], column[a:b] - at] = 1
+        out += (x @ x.T if left == n else x[:left] @ x[left:].T).astype(np.int64)
+    return np.triu(out, 1) if left == n else out
+
+
+def _every(members: DataFrame, labels: DataFrame, texts: DataFrame, own: Scratch) -> DataFrame:
+    """Pairs a, b of different components that share a bucket and, by hashes of their shingles, reach LEAST."""
+    sets = members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("all"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("x2"))
+    parts = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all") / BLOCK_ITEMS)).cast("int")
+    sets = own.written(sets.groupBy("m", "x1", "x2").agg(F.min("bucket").alias("bucket"), F.first("all").alias("all")).select("bucket", parts.alias("parts")), "sets")  # buckets of the same texts are one
+    held = members.join(sets, "bucket").select("bucket", "node", "parts", F.pmod(F.xxhash64("node", "bucket"), "parts").cast("int").alias("s"))
+    held = own.written(held.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "held")
+    items = own.written(elements(among(texts, "node", own.written(held.select("node").distinct(), "ids"))), "items")
+    dealt = held.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("bucket", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), (F.col("s") > F.col("t")).alias("right"), "node", "component").join(items, "node")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("right")
+        right, node, component = (group.column(c).to_numpy() for c in ("right", "node", "component"))
+        lists = group.column("items").combine_chunks()
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        m = len(node)
+        left = m if group.column("i")[0].as_py() == group.column("j")[0].as_py() else int(m - right.sum())
+        rows, cols = (np.arange(m), np.arange(m)) if left == m else (np.arange(left), np.arange(left, m))
+        both = in_common(lists.flatten().to_numpy(), np.repeat(np.arange(m), n), m, left)
+        near = (both > 0) & (both / np.maximum(n[rows][:, None] + n[cols][None, :] - both, 1) >= LEAST) & (component[rows][:, None] != component[cols][None, :])
+        x, y = np.nonzero(near)
+        x, y = node[rows[x]], node[cols[y]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def links(nodes: DataFrame, texts_of, own: Scratch) -> tuple[DataFrame, DataFrame]:
     """Links a, b of at least LEAST, and node, component of what they join; both read tables of own.
 
-    nodes: node, n, bands; texts_of(ids): node, text. Rounds end when one finds no link.
+    nodes: node, n, bands; texts_of(ids): node, text. Rounds end when one finds no link; then comes what they left.
     """
     members = _buckets(nodes.where("n > 0"), own)
     texts = own.written(texts_of(members.select("node").distinct()), "texts")
     pairs, used = _star(members, None, own)
     found = labels = seen = None
+    rounds = 0
     while True:
         tried = own.written(verified(pairs, texts), "tried")
         new = tried.where(F.col("similarity") >= LEAST)
+        rounds += 1
         if found is not None and not new.limit(1).count():
+            left = members.where(F.col("size") > rounds + 1)  # in smaller buckets each text but one was the pivot
+            new = own.written(verified(own.written(_every(left, labels, texts, own), "every"), texts).where(F.col("similarity") >= LEAST), "rest")
+            if new.limit(1).count():
+                found = found.unionByName(new)
+                labels, path = components(found)
+                own.paths.append(path)
             return found, labels
         found = new if found is None else found.unionByName(new)
         seen = tried.select("a", "b") if seen is None else seen.unionByName(tried.select("a", "b"))
