@@ -25,7 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the budgets of domains, languages and sources take."""
+    """A row for each document and epoch that the budgets of domains, languages and sources take."""
     return mixing.mixed_documents(docs)
 
 
