@@ -11,20 +11,21 @@ Bands. 32 bands of 6 registers: texts of similarity 0.8 share a bucket with a pr
 first gathered by its digest, so buckets hold different texts only.
 
 Verification. In a bucket, each text is first compared with one pivot, the text that shares most buckets (most likely the
-original of its copies). Texts of at least 0.8 by their true multisets are linked. Then, as long as links are found,
-buckets that still hold several components get the next pivot and, in an order of the band's own, each text is compared
-with its neighbours; only pairs of different components and not compared before. These rounds only save work: what they
-leave, each pair of different components in each bucket that holds several, is compared in full at the end. A large
-bucket is dealt to blocks and each block meets each; there, shingles common to two texts are counted by their hashes,
-which can't miss a pair, and pairs that reach 0.8 are verified by their texts. So every pair that shares a bucket is
-compared or joined already, and components of the links are the classes. A bucket whose m texts stay in different
-components costs m^2 / 2 such counts. What can be missed is the bands' own odds alone; tests hold the classes against
+original of its copies). Texts of at least 0.8 by their true multisets are linked; components of the links are found.
+Then, as long as it pays, buckets that hold several components compare one text of the largest with one of each other
+component: the pairs of a round are as many as the components, not the texts. These rounds only save work. At the end
+each pair of different components in each bucket is compared in full: all but a bucket's largest component meet all its
+texts, dealt to blocks; shingles common to two texts are counted by their hashes, which can't miss a pair, and pairs that
+reach 0.8 are verified by their texts. So every pair that shares a bucket is compared or joined already, and components
+of the links are the classes. A bucket whose m texts stay in different components costs m^2 / 2 such counts; one whose r
+texts stand apart from the rest, r x m. What can be missed is the bands' own odds alone; tests hold the classes against
 brute force.
 
 Defined cases: null text is empty; texts of fewer than five words have one shingle, of all their words; texts without a
-word are in a class with equal texts only; class_id is the smallest doc_id of the class; rows of one doc_id with
-different texts are treated as texts of their own with that smallest id; rows without doc_id share the class of equal
-texts, null if there is none with an id; an empty table gives an empty result; other columns are passed by.
+word are in a class with equal texts only; class_id is the smallest doc_id of the class; of rows that repeat a doc_id with
+different texts, those texts of which it is the smallest id are one class; rows without doc_id share the class of equal
+texts, null if there is none with an id; very long texts are read whole, CHUNK shingles at a time; an empty table gives
+an empty result; other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,18 +38,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanbin.llm.common import Scratch, among, discard, give_back, written
+from gleanbin.llm.common import Scratch, among, discard, give_back, restored, shielded, written
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 #: Shingles that are worked on at once; words whose hashes a worker remembers.
 BATCH, REMEMBERED = 200_000, 400_000
-#: Texts of a ring in which neighbours are compared, about.
-RING = 1_000
+#: Shingles whose processes run at once.
+CHUNK = 500_000
+#: Share of a round's pairs that must be links for another round; what rounds leave is compared in full, so it moves time only.
+WORTH = 0.125
 #: Texts and shingles, about, of a block in which each text is compared with each; texts that make a shingle frequent.
 BLOCK, BLOCK_ITEMS, FREQUENT = 512, 500_000, 32
 U = np.uint64
@@ -98,7 +100,9 @@ def signatures(items: np.ndarray, owner: np.ndarray, n: int, registers: int = RE
     at_item, at_doc, at_weight = item, doc, weight
     while len(at_item):  # blocks (0, 1], (1, 2], (2, 4] ...: few shingles reach the later ones
         low, width = (0, 1) if not block else (1 << block - 1, 1 << block - 1)
-        _points(reg, registers, at_item, at_doc, at_weight - low, block, width)
+        for k in range(0, len(at_item), CHUNK):
+            part = slice(k, k + CHUNK)
+            _points(reg, registers, at_item[part], at_doc[part], at_weight[part] - low, block, width)
         block += 1
         more = at_weight > (1 << block - 1)
         at_item, at_doc, at_weight = at_item[more], at_doc[more], at_weight[more]
@@ -234,28 +238,26 @@ def _sized(n: str, m: str):
     return F.least(n, m) >= LEAST * F.greatest(n, m)
 
 
-def _star(members: DataFrame, used: DataFrame | None, own: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's most met text that was no pivot yet with all others; bucket, node of the pivots."""
-    free = members if used is None else members.join(used, ["bucket", "node"], "left_anti")
-    pivot = own.written(free.groupBy("bucket").agg(F.max(F.struct("pop", -F.col("node"), "node", "n")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivot")
+def _star(members: DataFrame) -> DataFrame:
+    """Pairs of each bucket's most met text with all others."""
+    first = F.max(F.struct("pop", -F.col("node"), "node", "n")).alias("p")
+    pivot = members.groupBy("bucket").agg(first).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
     pairs = members.join(pivot, "bucket").where((F.col("node") != F.col("pivot")) & _sized("n", "pivot_n"))
-    return pairs.select(*_pair("node", "pivot")).distinct(), pivot.select("bucket", F.col("pivot").alias("node"))
+    return pairs.select(*_pair("node", "pivot")).distinct()
 
 
-def _ring(members: DataFrame) -> DataFrame:
-    """Pairs of neighbours in an order of the bucket's own; a large bucket is several rings."""
-    turn = F.xxhash64("node", "bucket")
-    by = W.partitionBy("bucket", F.pmod(turn, F.ceil(F.col("size") / RING))).orderBy(turn)
-    near = members.withColumns({"near": F.lead("node").over(by), "near_n": F.lead("n").over(by)})
-    return near.where(F.col("near").isNotNull() & _sized("n", "near_n")).select(*_pair("node", "near"))
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with the component of each."""
+    return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _unlike(members: DataFrame, labels: DataFrame, own: Scratch) -> DataFrame:
-    """The members of buckets that hold several components."""
-    of = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    of = own.written(of, "labelled")
-    several = own.written(of.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "unlike")
-    return own.written(of.join(several, "bucket").select(*members.columns), "members")
+def _apart(of: DataFrame, own: Scratch) -> DataFrame:
+    """Pairs of components that meet in a bucket: one text of the largest with one of each other."""
+    first = F.max(F.struct("pop", -F.col("node"), "node", "n")).alias("p")
+    reps = own.written(of.groupBy("bucket", "component").agg(F.count("*").alias("m"), first), "reps")
+    top = reps.groupBy("bucket").agg(F.max(F.struct("m", "p")).alias("top"), F.count("*").alias("k")).where("k > 1")
+    pairs = reps.join(top, "bucket").select("p.node", "p.n", F.col("top.p.node").alias("pivot"), F.col("top.p.n").alias("pivot_n"))
+    return pairs.where((F.col("node") != F.col("pivot")) & _sized("n", "pivot_n")).select(*_pair("node", "pivot")).distinct()
 
 
 def elements(texts: DataFrame) -> DataFrame:
@@ -285,15 +287,18 @@ def in_common(items: np.ndarray, owner: np.ndarray, n: int, left: int) -> np.nda
     starts = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]])) if len(items) else np.empty(0, int)
     times = np.diff(np.concatenate([starts, [len(items)]]))
     of = np.repeat(times, times)
-    out = np.zeros((n, n), np.int64)
+    out = np.zeros((left, n), np.int64)
     rare = (of > 1) & (of < FREQUENT)
     e, o = items[rare], owner[rare]
     for k in range(1, FREQUENT):  # rows of one item stand together, by owner
         same = e[k:] == e[:-k]
         if not same.any():
             break
-        out += np.bincount(o[:-k][same] * n + o[k:][same], minlength=n * n).reshape(n, n)
-    out = out if left == n else out[:left, left:]
+        low, high = o[:-k][same], o[k:][same]
+        cross = (low < left) & ((high >= left) | (left == n))
+        out += np.bincount(low[cross] * n + high[cross], minlength=left * n).reshape(left, n)
+    far = 0 if left == n else left
+    out = out[:, far:]
     often = np.flatnonzero(times >= FREQUENT)
     column = np.repeat(np.arange(len(often)), times[often])
     o = owner[of >= FREQUENT]
@@ -301,33 +306,75 @@ def in_common(items: np.ndarray, owner: np.ndarray, n: int, left: int) -> np.nda
         a, b = np.searchsorted(column, [at, at + 2048])
         x = np.zeros((n, min(2048, len(often) - at)), np.float32)
         x[o[a:b], column[a:b] - at] = 1
-        out += (x @ x.T if left == n else x[:left] @ x[left:].T).astype(np.int64)
+        out += (x[:left] @ x[far:].T).astype(np.int64)
     return np.triu(out, 1) if left == n else out
 
 
-def _every(members: DataFrame, labels: DataFrame, texts: DataFrame, own: Scratch) -> DataFrame:
-    """Pairs a, b of different components that share a bucket and, by hashes of their shingles, reach LEAST."""
-    sets = members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("all"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("x2"))
-    parts = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all") / BLOCK_ITEMS)).cast("int")
-    sets = own.written(sets.groupBy("m", "x1", "x2").agg(F.min("bucket").alias("bucket"), F.first("all").alias("all")).select("bucket", parts.alias("parts")), "sets")  # buckets of the same texts are one
-    held = members.join(sets, "bucket").select("bucket", "node", "parts", F.pmod(F.xxhash64("node", "bucket"), "parts").cast("int").alias("s"))
-    held = own.written(held.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "held")
+def _open(of: DataFrame, own: Scratch) -> DataFrame:
+    """Buckets that hold several components: top (the largest component), lo, hi (shingles that can be near a text of
+    the rest), and into how many parts the rest and all its texts are dealt. Buckets of the same texts are one."""
+    sizes = of.groupBy("bucket", "component").agg(
+        F.count("*").alias("m"),
+        F.sum("n").alias("shingles"),
+        F.min("n").alias("lo"),
+        F.max("n").alias("hi"),
+        F.bit_xor(F.xxhash64("node")).alias("x1"),
+        F.bit_xor(F.xxhash64("node", F.lit(7))).alias("x2"),
+    )
+    sizes = own.written(sizes, "sizes")
+    whole = sizes.groupBy("bucket").agg(
+        F.max(F.struct("m", "component"))["component"].alias("top"),
+        F.count("*").alias("k"),
+        F.sum("m").alias("m"),
+        F.sum("shingles").alias("shingles"),
+        F.bit_xor("x1").alias("x1"),
+        F.bit_xor("x2").alias("x2"),
+    )
+    whole = whole.where("k > 1 and m > 2")  # of two texts one was the pivot
+    whole = whole.groupBy("m", "x1", "x2").agg(F.min(F.struct("bucket", "top", "shingles")).alias("b")).select("b.*", "m")
+    rest = sizes.select("bucket", "component", "lo", "hi", F.col("m").alias("r"), F.col("shingles").alias("r_shingles"))
+    rest = rest.join(whole, "bucket").where("component <> top").groupBy("bucket", "top", "m", "shingles")
+    rest = rest.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("r").alias("r"), F.sum("r_shingles").alias("r_shingles"))
+    parts = lambda rows, items: F.ceil(F.greatest(F.col(rows) / BLOCK, F.col(items) / BLOCK_ITEMS)).cast("int")
+    return own.written(
+        rest.select(
+            "bucket",
+            "top",
+            (F.col("lo") * LEAST).alias("lo"),
+            (F.col("hi") / LEAST).alias("hi"),
+            parts("r", "r_shingles").alias("parts_rest"),
+            parts("m", "shingles").alias("parts_all"),
+        ),
+        "open",
+    )
+
+
+def _every(of: DataFrame, texts: DataFrame, own: Scratch) -> DataFrame:
+    """Pairs a, b of different components that share a bucket and, by hashes of their shingles, reach LEAST.
+
+    In a bucket, texts of all but the largest component (the rest) meet all texts, in blocks.
+    """
+    held = of.join(_open(of, own), "bucket").withColumn("rest", F.col("component") != F.col("top"))
+    held = held.where(F.col("rest") | F.col("n").between(F.col("lo"), F.col("hi")))
+    deal = lambda parts: F.pmod(F.xxhash64("node", "bucket"), F.col(parts)).cast("int")
+    held = held.select("bucket", "node", "component", "rest", "parts_rest", "parts_all", deal("parts_rest").alias("i"), deal("parts_all").alias("j"))
+    held = own.written(held, "held")
     items = own.written(elements(among(texts, "node", own.written(held.select("node").distinct(), "ids"))), "items")
-    dealt = held.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("bucket", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), (F.col("s") > F.col("t")).alias("right"), "node", "component").join(items, "node")
+    turn = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    asking = held.where("rest").withColumn("j", turn("parts_all")).withColumn("right", F.lit(False))
+    asked = held.withColumn("i", turn("parts_rest")).withColumn("right", F.lit(True))
+    dealt = asking.unionByName(asked).select("bucket", "i", "j", "right", "node", "component").join(items, "node")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("right")
         right, node, component = (group.column(c).to_numpy() for c in ("right", "node", "component"))
         lists = group.column("items").combine_chunks()
         n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        m = len(node)
-        left = m if group.column("i")[0].as_py() == group.column("j")[0].as_py() else int(m - right.sum())
-        rows, cols = (np.arange(m), np.arange(m)) if left == m else (np.arange(left), np.arange(left, m))
+        m, left = len(node), int(len(node) - right.sum())
         both = in_common(lists.flatten().to_numpy(), np.repeat(np.arange(m), n), m, left)
-        near = (both > 0) & (both / np.maximum(n[rows][:, None] + n[cols][None, :] - both, 1) >= LEAST) & (component[rows][:, None] != component[cols][None, :])
-        x, y = np.nonzero(near)
-        x, y = node[rows[x]], node[cols[y]]
+        near = both >= LEAST * np.maximum(n[:left, None] + n[None, left:] - both, 1)
+        x, y = np.nonzero(near & (component[:left, None] != component[None, left:]))
+        x, y = node[x], node[left + y]
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
@@ -336,62 +383,71 @@ def _every(members: DataFrame, labels: DataFrame, texts: DataFrame, own: Scratch
 def links(nodes: DataFrame, texts_of, own: Scratch) -> tuple[DataFrame, DataFrame]:
     """Links a, b of at least LEAST, and node, component of what they join; both read tables of own.
 
-    nodes: node, n, bands; texts_of(ids): node, text. Rounds end when one finds no link; then comes what they left.
+    nodes: node, n, bands; texts_of(ids): node, text.
     """
     members = _buckets(nodes.where("n > 0"), own)
     texts = own.written(texts_of(members.select("node").distinct()), "texts")
-    pairs, used = _star(members, None, own)
-    found = labels = seen = None
-    rounds = 0
+    near = F.col("similarity") >= LEAST
+
+    def joined(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        labels, path = components(found)
+        own.paths.append(path)
+        return own.written(_labelled(members, labels), "labelled"), labels
+
+    tried = own.written(verified(_star(members), texts), "tried")
+    found, seen = tried.where(near), tried.select("a", "b")
     while True:
-        tried = own.written(verified(pairs, texts), "tried")
-        new = tried.where(F.col("similarity") >= LEAST)
-        rounds += 1
-        if found is not None and not new.limit(1).count():
-            left = members.where(F.col("size") > rounds + 1)  # in smaller buckets each text but one was the pivot
-            new = own.written(verified(own.written(_every(left, labels, texts, own), "every"), texts).where(F.col("similarity") >= LEAST), "rest")
-            if new.limit(1).count():
-                found = found.unionByName(new)
-                labels, path = components(found)
-                own.paths.append(path)
-            return found, labels
-        found = new if found is None else found.unionByName(new)
-        seen = tried.select("a", "b") if seen is None else seen.unionByName(tried.select("a", "b"))
+        of, labels = joined(found)
+        tried = own.written(verified(_apart(of, own).join(seen, ["a", "b"], "left_anti"), texts), "tried")
+        counts = tried.agg(F.count("*").alias("n"), F.count_if(near).alias("near")).first()
+        if counts["near"]:
+            found, seen = found.unionByName(tried.where(near)), seen.unionByName(tried.select("a", "b"))
+        if counts["near"] < counts["n"] * WORTH or not counts["near"]:
+            break
+    if counts["near"]:
+        of, labels = joined(found)
+    rest = own.written(verified(own.written(_every(of, texts, own), "every"), texts).where(near), "rest")
+    if rest.limit(1).count():
+        found = found.unionByName(rest)
         labels, path = components(found)
         own.paths.append(path)
-        members = _unlike(members, labels, own)
-        star, pivots = _star(members, used, own)
-        used = used.unionByName(pivots)
-        pairs = star.unionByName(_ring(members)).distinct().join(labels.toDF("a", "_ca"), "a", "left").join(labels.toDF("b", "_cb"), "b", "left")
-        pairs = pairs.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b").join(seen, ["a", "b"], "left_anti")
+    return found, labels
 
 
-def classed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every row's doc_id and text digest h; and of each h its node (smallest doc_id) and class_id. Both written tables."""
-    own = Scratch(documents.sparkSession)
+def classed(documents: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
+    """Every row's doc_id and text digest h; of each h its node (smallest doc_id) and class_id; what holds both."""
+    own, kept = Scratch(documents.sparkSession), Scratch(documents.sparkSession)
     sig = own.written(signed(documents), "signed")
-    nodes = own.written(sig.groupBy("h").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    each = sig.groupBy("h").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = own.written(each, "nodes")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        t = documents.select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-        return among(t, "node", own.written(ids, "ids")).dropDuplicates(["node"])
+        text = F.coalesce("text", F.lit(""))
+        t = documents.select(F.col("doc_id").cast("long").alias("node"), text.alias("text"))
+        near = among(t, "node", own.written(ids, "ids")).withColumn("h", F.md5("text"))
+        # of a doc_id that repeats, the texts of which it is the smallest
+        return near.join(nodes.select("node", "h"), ["node", "h"], "left_semi").dropDuplicates(["node", "h"]).drop("h")
 
     _, labels = links(nodes.where("node is not null").select("node", "n", "bands"), texts_of, own)
-    classes, _ = written(nodes.join(labels, "node", "left").select("h", "node", F.coalesce("component", "node").alias("class_id")), "classes")
-    rows, _ = written(sig.select("doc_id", "h"), "rows")
+    label = F.coalesce("component", "node").alias("class_id")
+    classes = kept.written(nodes.join(labels, "node", "left").select("h", "node", label), "classes")
+    rows = kept.written(sig.select("doc_id", "h"), "rows")
     own.clear()
-    return rows, classes
+    return rows, classes, kept
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id and class_id of every row."""
-    rows, classes = classed(documents.select("doc_id", "text"))
+    rows, classes, _ = classed(documents.select("doc_id", "text"))
     return rows.join(classes, "h").select("doc_id", "class_id")
 
 
 def first_of_each(documents: DataFrame) -> DataFrame:
     """One row of each class, that of the smallest doc_id, with its own columns."""
-    _, classes = classed(documents.select("doc_id", "text"))
-    first = classes.where("node <=> class_id").select(F.col("h").alias("_h"), F.col("node").alias("_node"))
-    kept = documents.withColumn("_h", F.md5(F.coalesce("text", F.lit("")))).join(first, "_h").where("doc_id <=> _node")
-    return kept.dropDuplicates(["_h"]).select(*documents.columns)
+    _, classes, _ = classed(documents.select("doc_id", "text"))
+    first = classes.where("node <=> class_id").groupBy("node", F.when(F.col("node").isNull(), F.col("h")).alias("alone"))
+    first = first.agg(F.min("h").alias("h")).select("h", "node")
+    rows, names = shielded(documents)
+    text, doc_id = (F.col(names[c]) for c in ("text", "doc_id"))
+    kept = rows.withColumn("h", F.md5(F.coalesce(text, F.lit("")))).join(first, "h").where(doc_id.cast("long").eqNullSafe(F.col("node")))
+    return restored(kept.dropDuplicates(["h"]), names)

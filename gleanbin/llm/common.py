@@ -68,6 +68,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named by position (_k0, _k1, ...), and those names by the old: none can clash with ours."""
+    return df.toDF(*[f"_k{k}" for k in range(len(df.columns))]), {c: f"_k{k}" for k, c in enumerate(df.columns)}
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of a shielded table, under their own names."""
+    return df.select(*[F.col(k).alias(c) for c, k in names.items()])
+
+
 class Scratch:
     """Written tables that go together."""
 
