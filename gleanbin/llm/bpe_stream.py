@@ -4,7 +4,9 @@ A boundary between two tokens can only move if a merge further right takes part
 in rank order, so such influence runs along a chain of merges of falling rank, each starting where the right half of
 the one before ends. The longest chain, in bytes, is the merge list's sufficient lookahead; it is computed once from the
 merges (827 bytes for the 50k list). Bytes further than that before the end of what has been read can't change any
-more: their tokens are emitted, and only a window of the input stays in memory.
+more: their tokens are emitted, and only a window of the input stays in memory. Every text, short or long, is fed to the
+one encoder in slices, and every pre-token to the one transducer; what it gave for a pre-token is remembered, in caches of
+fixed size.
 
 Decoding is an incremental state machine from bytes to text: it holds back at most three bytes of a character that is
 not complete; invalid bytes become U+FFFD as in lossy UTF-8.
@@ -32,10 +34,11 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pre-token pattern of the public byte-level tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts longer than this go through the encoder in slices of this many characters.
+#: Characters of a slice, in which texts are fed to the encoder.
 SLICE = 1 << 16
-#: Distinct pre-tokens that a worker remembers in each of two generations; four times as many parts between gaps.
-REMEMBERED = 60_000
+#: Distinct pre-tokens that a worker remembers in each of two generations; twice as many parts between gaps; characters of
+#: what is remembered at most.
+REMEMBERED, LONGEST_REMEMBERED = 100_000, 200
 NO_MERGE = 1 << 30
 
 
@@ -153,11 +156,10 @@ class Remembered(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         found = self.older.get(word)
         if found is None:
-            data = word.encode()
-            if len(data) >= self.table.window:
-                piece = PieceTransducer(self.table)
-                return tuple(chain(piece.feed(data), piece.finish()))
-            found = tuple(self.table.merge(data))
+            piece = PieceTransducer(self.table)
+            found = tuple(piece.feed(word.encode()) + piece.finish())
+            if len(word) > LONGEST_REMEMBERED:
+                return found
         self[word] = found
         return found
 
@@ -178,7 +180,7 @@ class RememberedParts(Remembered):
         found = self.older.get(part)
         if found is None:
             found = tuple(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(part if part[0] == "\n" else " " + part))))
-            if len(part) > 200:
+            if len(part) > LONGEST_REMEMBERED:
                 return found
         self[part] = found
         return found
@@ -190,14 +192,32 @@ OTHER_SPACE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u
 CLASSES = {"L": regex.compile(r"\p{L}*"), "N": regex.compile(r"\p{N}*"), "O": regex.compile(r"[^\s\p{L}\p{N}]*")}
 
 
+#: The last end of a word before a gap, searched from the right.
+LAST_GAP = regex.compile(r"(?r)\S(?=\s)")
+
+
 class StreamEncoder:
-    """Encodes a text fed in slices, with constant memory; added tokens are taken out before."""
+    """Encodes a text fed in slices, with constant memory; added tokens are taken out before.
+
+    Of what was fed, pre-tokens that can still grow are held back; all before them go through the transducer, whose
+    tokens for a pre-token are remembered once stable.
+    """
 
-    def __init__(self, table: MergeTable, remembered: Remembered | None = None):
+    def __init__(self, table: MergeTable, remembered: Remembered | None = None, parts: RememberedParts | None = None):
         self.table, self.words = table, remembered if remembered is not None else Remembered(table)
         self.pattern = regex.compile(PATTERN)
+        self.parts = parts if parts is not None else RememberedParts(self.words, self.pattern)
         self.held, self.open, self.kind = "", None, ""
 
+    def _stable(self, text: str) -> list[int]:
+        """The tokens of whole pre-tokens."""
+        first, rest = simple_parts(text)
+        out = list(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(first))))
+        out.extend(chain.from_iterable(map(self.parts.__getitem__, rest)))
+        self.words.trim()
+        self.parts.trim()
+        return out
+
     def feed(self, text: str) -> list[int]:
         out: list[int] = []
         text, self.held = self.held + text, ""
@@ -208,9 +228,8 @@ class StreamEncoder:
                 return out
             out += self.open.finish()
             self.open, text = None, text[end:]
-        cut = 0
-        for m in regex.finditer(r"\S(?=\s)", text[-4096:]):
-            cut = max(0, len(text) - 4096) + m.end()
+        gap = LAST_GAP.search(text, max(0, len(text) - 4096))
+        cut = gap.end() if gap else 0
         if not cut and len(text) > SLICE // 4:  # no gap near the end: all but what touches the end, or a contraction, is stable
             spans = [m.span() for m in self.pattern.finditer(text)]
             while spans and spans[-1][1] > len(text) - 4:
@@ -222,8 +241,8 @@ class StreamEncoder:
                 out += chain.from_iterable(map(self.words.__getitem__, (text[a:b] for a, b in spans)))
                 self.open, self.kind = PieceTransducer(self.table), kind
                 return out + self.open.feed(tail.encode())
-        out += chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(text[:cut])))
-        self.words.trim()
+        if cut:
+            out += self._stable(text[:cut])
         self.held = text[cut:]
         return out
 
@@ -271,24 +290,12 @@ class Codec:
         self.table = MergeTable(path)
         self.words = Remembered(self.table, remembered)
         self.pattern = regex.compile(PATTERN)
-        self.parts = RememberedParts(self.words, self.pattern, 4 * remembered)
+        self.parts = RememberedParts(self.words, self.pattern, 2 * remembered)
         self.added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.table.added, key=len, reverse=True)) + ")") if self.table.added else None
         self.names = [str(k) for k in range(len(self.table.tokens))]
 
     def _plain(self, text: str) -> Iterator[list[int]]:
-        first, rest = simple_parts(text) if len(text) <= SLICE else (text, [])
-        if rest:
-            ids = list(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(first))))
-            ids += chain.from_iterable(map(self.parts.__getitem__, rest))
-            self.words.trim()
-            self.parts.trim()
-            yield ids
-            return
-        if len(text) <= SLICE:
-            yield list(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(text))))
-            self.words.trim()
-            return
-        encoder = StreamEncoder(self.table, self.words)
+        encoder = StreamEncoder(self.table, self.words, self.parts)
         for k in range(0, len(text), SLICE):
             yield encoder.feed(text[k : k + SLICE])
         yield encoder.finish()
