@@ -5,8 +5,8 @@ frequency by Zipf's law (nothing is trained). A pre-token's count is that of its
 fewer pieces. Distinct pre-tokens are inserted in a trie of bytes; each node holds the forward score and the piece count
 of its prefix, computed once from its ancestors when the node is made, so pre-tokens share all that they begin with. The
 node where a pre-token ends gives its count, which is stored with it. Trie and stored counts are of bounded size: full
-ones are dropped and grow anew. Pre-tokens over LONG bytes are counted in one pass that holds as many scores as the
-longest piece has bytes.
+ones are dropped and grow anew, and where a very long pre-token fills the trie, its further prefixes are scored without
+nodes; only as many scores as the longest piece has bytes are looked back at.
 
 Defined cases: null text is empty (0 and 0); bytes that are not UTF-8 are read as U+FFFD; every byte is a piece, so any
 text can be segmented; repeated rows give repeated results; an empty table gives an empty result; other columns are
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from gleanbin.llm.bpe_stream import PATTERN, simple_parts
 
-NODES, STORED, LONG = 400_000, 600_000, 256
+#: Nodes and stored counts at most; scores of a pre-token's prefixes that are held beyond those still needed.
+NODES, STORED, HELD = 400_000, 600_000, 4096
 
 
 class Unigram:
@@ -56,53 +57,47 @@ class Trie:
         self.best, self.count = [0.0], [0]
 
     def count_of(self, word: bytes) -> int:
-        """Pieces of the best segmentation of word, which is inserted."""
-        if len(word) > LONG:
-            return self.streamed(word)
+        """Pieces of the best segmentation of word, which is inserted as far as there is room."""
         if len(self.best) > NODES:
             self.clear()
-        child, best, count, node, path = self.child, self.best, self.count, 0, [0]
-        score, suffixes = self.model.score.get, self.model.suffixes
+        return self._walk(word, 0)
+
+    def streamed(self, word: bytes) -> int:
+        """The same with no node made or read."""
+        return self._walk(word, -1)
+
+    def _walk(self, word: bytes, node: int) -> int:
+        """Scores of word's prefixes, of which as many as the longest piece has bytes are held; node -1 is none."""
+        child, best, count = self.child, self.best, self.count
+        score, suffixes, longest = self.model.score.get, self.model.suffixes, self.model.longest
+        tops, leasts, base = [0.0], [0], 0  # of the prefixes from base bytes on
         for d, byte in enumerate(word, 1):
-            key = node << 8 | byte
-            node = child.get(key, -1)
-            if node < 0:
+            step = child.get(node << 8 | byte, -1) if node >= 0 else -1
+            if step >= 0:
+                top, least = best[step], count[step]
+            else:
                 top, least = -math.inf, 0
-                for a in range(d - 1, -1, -1):
+                for a in range(d - 1, max(-1, d - longest - 1), -1):
                     piece = word[a:d]
                     if piece not in suffixes:
                         break
                     s = score(piece)
                     if s is not None:
-                        before = path[a]
-                        s += best[before]
-                        n = count[before] + 1
+                        s += tops[a - base]
+                        n = leasts[a - base] + 1
                         if s > top or s == top and n < least:
                             top, least = s, n
-                node = child[key] = len(best)
-                best.append(top)
-                count.append(least)
-            path.append(node)
-        return count[node]
-
-    def streamed(self, word: bytes) -> int:
-        """The same for a long word: a ring of as many scores as the longest piece has bytes."""
-        size = self.model.longest + 1
-        ring = [(0.0, 0)] * size
-        for d in range(1, len(word) + 1):
-            top, least = -math.inf, 0
-            for a in range(d - 1, max(-1, d - size), -1):
-                piece = word[a:d]
-                if piece not in self.model.suffixes:
-                    break
-                s = self.model.score.get(piece)
-                if s is not None:
-                    s += ring[a % size][0]
-                    n = ring[a % size][1] + 1
-                    if s > top or s == top and n < least:
-                        top, least = s, n
-            ring[d % size] = (top, least)
-        return ring[len(word) % size][1]
+                if node >= 0 and len(best) <= NODES:
+                    step = child[node << 8 | byte] = len(best)
+                    best.append(top)
+                    count.append(least)
+            node = step
+            tops.append(top)
+            leasts.append(least)
+            if len(tops) > HELD + longest:
+                del tops[:HELD], leasts[:HELD]
+                base += HELD
+        return leasts[-1]
 
 
 class Stored(dict):
