@@ -189,9 +189,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         last, bag = None, Counter()
         for batch in batches:
             sims = []
-            for a, ta, tb in zip(*(batch.column(k) for k in (0, 2, 3))):
-                if a != last:  # rows come by a
-                    last, bag = a, shingles(ta.as_py())
+            for ta, tb in zip(batch.column(2), batch.column(3)):
+                if last is None or not ta.equals(last):  # rows come by a
+                    last, bag = ta, shingles(ta.as_py())
                 sims.append(overlap(bag, shingles(tb.as_py())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
 
