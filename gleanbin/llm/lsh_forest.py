@@ -90,7 +90,7 @@ def directions(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def placed(reps: DataFrame, dim: int) -> DataFrame:
-    """gid, v, log_length, shell, route (the routing string as a number) of each vector."""
+    """gid, v, u (its direction), log_length, shell, route (the routing string as a number) of each vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(SEED + 1).normal(size=(dim, ROUTE))
@@ -100,14 +100,15 @@ def placed(reps: DataFrame, dim: int) -> DataFrame:
                 u, log = directions(_matrix(batch.column(1), dim))
                 route = ((u @ planes > 0) * bit).sum(axis=1)
                 shell = np.floor(log + 0.5).astype(np.int32)
-                columns = [batch.column(0), batch.column(1), pa.array(log), pa.array(shell), pa.array(route)]
-                yield pa.RecordBatch.from_arrays(columns, ["gid", "v", "log_length", "shell", "route"])
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * dim), pa.array(u.ravel()))
+                columns = [batch.column(0), batch.column(1), flat, pa.array(log), pa.array(shell), pa.array(route)]
+                yield pa.RecordBatch.from_arrays(columns, ["gid", "v", "u", "log_length", "shell", "route"])
 
-    return reps.select("gid", "v").mapInArrow(run, "gid long, v array<double>, log_length double, shell int, route long")
+    return reps.select("gid", "v").mapInArrow(run, "gid long, v array<double>, u array<double>, log_length double, shell int, route long")
 
 
 def blocked(reps: DataFrame, dim: int, own: Scratch) -> DataFrame:
-    """gid, v, log_length and the block (KEY) of each vector."""
+    """gid, v, u, log_length and the block (KEY) of each vector."""
     rows = own.written(placed(reps, dim), "placed")
     bits = F.least(F.greatest(F.ceil(F.log2(F.col("n") / BLOCK)), F.lit(0)), F.lit(ROUTE)).cast("int")
     shells = rows.groupBy("shell").agg(F.count("*").alias("n")).select("shell", bits.alias("bits"))
@@ -115,23 +116,16 @@ def blocked(reps: DataFrame, dim: int, own: Scratch) -> DataFrame:
     in_cell = in_cell.withColumn("cell", F.expr(f"shiftright(route, {ROUTE} - bits)").cast("long")).drop("route", "bits")
     cells = in_cell.groupBy("shell", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("subs"))
     out = in_cell.join(cells, ["shell", "cell"]).withColumn("sub", F.pmod(F.xxhash64("gid"), F.col("subs")))
-    return own.written(out.select(*KEY, "gid", "v", "log_length"), "blocked")
+    return own.written(out.select(*KEY, "gid", "v", "u", "log_length"), "blocked")
 
 
 def _dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _unit(v: str):
-    most = F.array_max(F.transform(v, F.abs))
-    scaled = F.transform(v, lambda x: x / most)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(scaled, lambda x: x / length)
-
-
 def cones(points: DataFrame, own: Scratch) -> DataFrame:
     """Of each block its centre (a vector of its own), the widest angle to it, and the greatest length (its logarithm)."""
-    u = points.select(*KEY, "gid", "log_length", _unit("v").alias("u"))
+    u = points.select(*KEY, "gid", "log_length", "u")
     centres = own.written(u.groupBy(*KEY).agg(F.min_by("u", F.xxhash64("gid")).alias("centre")), "centres")
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot("u", "centre"))))
     wide = u.join(centres, KEY).groupBy(*KEY).agg(F.max(angle).alias("wide"), F.max("log_length").alias("longest"))
@@ -313,7 +307,7 @@ def nearest(vectors: DataFrame) -> DataFrame:
     at = F.row_number().over(W.partitionBy("qgid").orderBy(F.desc("score")))
     # the K + 1st best of the home block: at least K vectors other than the query itself reach it
     floors = home.withColumn("r", at).where(F.col("r") == K + 1).select(F.col("qgid").alias("gid"), F.col("score").alias("floor"))
-    floors = own.written(asked.join(floors, "gid", "left").fillna({"floor": float("-inf")}).withColumn("u", _unit("v")), "floors")
+    floors = own.written(asked.join(floors, "gid", "left").fillna({"floor": float("-inf")}), "floors")
     visits = to_visit(floors, cones(points, own), dim, own).join(floors.select("gid", "v", "floor"), "gid")
     rest = met(points, own.written(visits, "visits"), dim)
     order = W.partitionBy("qgid").orderBy(F.desc("score"), "gid")
