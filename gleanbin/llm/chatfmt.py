@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprint, in DataFrame functions only.
 
-A record's layout is the sorted list of its nested field paths (those that some mapping knows); its MD5 selects a
-declarative mapping, which says where turns, roles and texts are. Typed tables have one layout, found from their schema
-when the plan is made; JSON strings have one each row. Mappings give canonical turns: role and text.
+A record's layout is the sorted list of its nested field paths (those that some mapping knows), of all elements of its
+lists; its MD5 selects a declarative mapping, which says where turns, roles and texts are. Each row has a layout of its
+own: in JSON strings the fields that are there, in typed tables those that are not null; conv_id is no part of it.
+Mappings give canonical turns: role and text.
 
 The template writes a turn as <turn ROLE>, a line break, its text and </turn> with a line break. In texts, a backslash
 becomes \\b and the < of <turn and </turn becomes \\l, in roles also > \\g and a line break \\n; as each backslash then
@@ -11,8 +12,10 @@ of SEGMENT turns (by turn number), so that one with very many turns is not one r
 loss_spans has [start, end) of each assistant text in its segment, in code points.
 
 Defined cases: null text and role are empty; turns of equal number go by role, then text; null conv_id is a conversation;
-null turn comes first; repeated rows are turns of their own; unknown layouts give null turns and keep their fingerprint;
-other columns are not read, whatever their names; an empty table gives no conversation.
+null turn comes first; repeated rows are turns of their own; JSON records of unknown layouts give null turns and keep
+their fingerprint, typed rows of unknown layouts give no turn; a row of nothing but nulls is a turn where the table has
+turn rows; texts are read whole, however long; other columns are not read, whatever their names; an empty table gives no
+conversation.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ class Mapping:
 
 
 MAPPINGS = [
-    Mapping("turn_rows", ("conv_id", "turn", "role", "text"), rows=("conv_id", "turn", "role", "text")),
+    Mapping("turn_rows", (), ("turn", "role", "text"), rows=("conv_id", "turn", "role", "text")),
     Mapping("messages", ("messages", "messages[].role", "messages[].content"), ("system",), (("system", "system"),), ("messages", "role", "content")),
     Mapping("from_value", ("conversations", "conversations[].from", "conversations[].value"), ("system",), (("system", "system"),), ("conversations", "from", "value"), renamed=ROLE_NAMES),
     Mapping("prompt_completion", ("prompt", "completion"), ("system",), (("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
@@ -54,6 +57,7 @@ MAPPINGS = [
     Mapping("instruction", ("instruction", "output"), ("input", "system"), (("system", "system"), ("user", "instruction+input"), ("assistant", "output"))),
     Mapping("question_answer", ("question", "answer"), ("system",), (("system", "system"), ("user", "question"), ("assistant", "answer"))),
 ]
+ROW_FIELDS = ("conv_id", "turn", "role", "text")
 CONTAINERS = sorted({m.listed[0] for m in MAPPINGS if m.listed})
 KNOWN = sorted({p for m in MAPPINGS for p in (*m.paths, *m.optional)})
 RECORD = "system string, prompt string, completion string, response string, instruction string, input string, output string, question string, answer string, messages array<struct<role string, content string>>, conversations array<struct<`from` string, value string>>"
@@ -81,9 +85,12 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
 def json_fingerprint(record: Column) -> Column:
     """Of each JSON record: its layout's fingerprint; null if it is no object."""
 
+    none = F.array().cast("array<string>")
+
     def inside(c: str) -> Column:
-        keys = F.json_object_keys(F.get_json_object(record, f"$.{c}[0]"))
-        return F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(f"{c}[]."), k)), F.array().cast("array<string>"))
+        elements = F.from_json(F.get_json_object(record, f"$.{c}"), "array<string>")
+        keys = F.flatten(F.transform(elements, lambda x: F.coalesce(F.json_object_keys(x), none)))
+        return F.coalesce(F.transform(F.array_distinct(keys), lambda k: F.concat(F.lit(f"{c}[]."), k)), none)
 
     top = F.json_object_keys(record)
     paths = F.flatten(F.array(top, *[inside(c) for c in CONTAINERS]))
@@ -91,8 +98,26 @@ def json_fingerprint(record: Column) -> Column:
     return F.when(top.isNotNull(), F.md5(F.array_join(F.array_sort(F.array_intersect(paths, known)), "\n")))
 
 
+def row_fingerprint(schema: T.StructType) -> Column:
+    """Of each typed row: the fingerprint of its known paths that are not null."""
+
+    def there(path: str) -> Column:
+        if "[]." not in path:
+            return F.col(path).isNotNull()
+        container, name = path.split("[].")
+        return F.coalesce(F.exists(F.col(container), lambda x: x[name].isNotNull()), F.lit(False))
+
+    known = [p for p in KNOWN if p in set(schema_paths(schema))]
+    paths = F.filter(F.array(*[F.when(there(p), p) for p in known]), lambda x: x.isNotNull())
+    return F.md5(F.array_join(paths, "\n"))  # known is sorted
+
+
+def _turn_fields(role: Column, text: Column) -> list[Column]:
+    return [F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")]
+
+
 def _turn(role: Column, text: Column) -> Column:
-    return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    return F.struct(*_turn_fields(role, text))
 
 
 def _renamed(role: Column, names: dict) -> Column:
@@ -129,15 +154,28 @@ def from_json_records(records: DataFrame, column: str, id_column: str) -> DataFr
 
 
 def turn_rows(table: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of a typed table; its schema's fingerprint selects the mapping."""
-    m = registry().get(fingerprint(schema_paths(table.schema)))
-    if m is None:
-        raise ValueError(f"no mapping for the layout {sorted(schema_paths(table.schema))}")
-    if m.rows:
-        return table.select(*[F.col(c).alias(n) for c, n in zip(m.rows, ("conv_id", "turn", "role", "text"))]).withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
-    key = F.col("conv_id") if "conv_id" in table.columns else F.xxhash64(*[F.to_json(F.col(c)) if "array" in t else F.col(c) for c, t in table.dtypes if c in KNOWN])
-    get = lambda p: F.col(p) if p in table.columns else F.lit(None).cast("string")
-    return table.select(key.alias("conv_id"), F.posexplode(turns(m, get)).alias("turn", "_t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "_t.role", "_t.text")
+    """conv_id, turn, role, text of a typed table; each row's fingerprint selects its mapping."""
+    have = set(schema_paths(table.schema))
+    whole = lambda m: set(m.rows or m.paths) <= have
+    by = {m.name: (m, [f for f, x in registry().items() if x is m]) for m in MAPPINGS if whole(m)}
+    if not by:
+        raise ValueError(f"no mapping for the layout {sorted(have)}")
+    get = lambda p: F.col(p) if p in have else F.lit(None).cast("string")
+    case, ident = F, F
+    for m, prints in by.values():
+        mine = F.col("_print").isin(prints)
+        if m.rows:
+            conv, turn, role, text = m.rows
+            made = F.array(F.struct(F.col(turn).cast("long").alias("turn"), *_turn_fields(F.col(role), F.col(text))))
+            key = F.col(conv).cast("long")
+        else:
+            made = F.transform(turns(m, get), lambda t, i: F.struct(i.cast("long").alias("turn"), t["role"].alias("role"), t["text"].alias("text")))
+            texts = [F.to_json(F.col(c)) if "array" in t else F.col(c) for c, t in table.dtypes if c in KNOWN and c not in ROW_FIELDS]
+            key = F.coalesce(F.col("conv_id").cast("long") if "conv_id" in have else F.lit(None).cast("long"), F.xxhash64(*texts))
+        case, ident = case.when(mine, made), ident.when(mine, key)
+    rows = table.withColumn("_print", row_fingerprint(table.schema))
+    each = rows.select(ident.otherwise(None).alias("conv_id"), F.explode(case.otherwise(None)).alias("_t"))
+    return each.select("conv_id", "_t.turn", "_t.role", "_t.text")
 
 
 def escaped(text: Column, role: bool = False) -> Column:
