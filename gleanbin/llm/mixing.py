@@ -13,8 +13,10 @@ the hash, then within the one digit pair at the boundary by the next two, and on
 leaf) are ordered. So a leaf that holds most rows is never in one task.
 
 Defined cases: null lang is und, null source is unknown, a source without a number has domain other; null and blank
-texts have no tokens and are never taken; repeated rows count each; rows of equal hash go by tokens, then text; empty
-tables give empty results; other columns are passed by.
+texts have no tokens and are never taken; a leaf under a weight of 0 is never taken, nor does it hold what its siblings
+lack; null doc_id hashes the text instead; repeated rows count each; rows of equal hash (rows that repeat a doc_id) go by
+tokens, then text, and those at a leaf's boundary are ordered in one task; texts are counted whole, however long; empty
+tables give empty results; other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanbin.llm.common import discard, written
+from gleanbin.llm.common import Scratch, restored, shielded, written
 
 LEVELS = ["domain", "lang", "source"]
 #: Target weights by level; what isn't named weighs 1.
@@ -35,18 +37,20 @@ LEAF = [f"_{x}" for x in LEVELS]
 SALTS = 64
 
 
-def with_leaf(documents: DataFrame) -> DataFrame:
-    """The columns of documents, its place in the tree and its tokens (words)."""
-    digits = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
+def with_leaf(documents: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of documents (shielded), a document's place in the tree, its tokens (words) and the id that epochs hash."""
+    doc_id, text, lang, source = (F.col(names[c]) for c in ("doc_id", "text", "lang", "source"))
+    digits = F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]+)$", 1)
     number = F.expr("try_cast(nullif(_digits, '') as bigint)")
     start = documents.withColumn("_digits", digits)
     domain = F.when(F.pmod(number, F.lit(3)) == 0, "web").when(F.pmod(number, F.lit(3)) == 1, "books").when(F.pmod(number, F.lit(3)) == 2, "reference").otherwise("other")
     return start.select(
         *[F.col(c) for c in documents.columns],
         domain.alias("_domain"),
-        F.coalesce("lang", F.lit("und")).alias("_lang"),
-        F.coalesce("source", F.lit("unknown")).alias("_source"),
-        F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("_tokens"),
+        F.coalesce(lang, F.lit("und")).alias("_lang"),
+        F.coalesce(source, F.lit("unknown")).alias("_source"),
+        F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("_tokens"),
+        F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.md5(text))).alias("_id"),
     )
 
 
@@ -73,17 +77,24 @@ def filled(children: DataFrame, parent: list[str], key: str) -> DataFrame:
     return d.withColumn("_got", F.col("_got") + F.when(~F.col("_full") & (F.col("_turn") <= F.col("_left")), 1).otherwise(0)).drop("_ratio", "_before", "_after_w", "_full", "_rest", "_rest_w", "_left", "_turn")
 
 
-def budgets(rows: DataFrame, share: int = SHARE, epochs: int = EPOCHS, weights: dict[str, dict[str, int]] = WEIGHTS) -> DataFrame:
-    """Each leaf with its _supply and _got tokens; as small as the tree."""
-    leaves, path = written(rows.groupBy(*LEAF).agg(F.sum("_tokens").alias("_supply")), "leaves")
-    total = leaves.agg(F.coalesce(F.sum("_supply"), F.lit(0))).first()[0]
+def budgets(rows: DataFrame, own: Scratch, share: int = SHARE, epochs: int = EPOCHS, weights: dict[str, dict[str, int]] = WEIGHTS) -> DataFrame:
+    """Each leaf with its _supply and _got tokens; as small as the tree. A leaf under a weight of 0 holds nothing."""
+    weighs = F.lit(True)
+    for name in LEVELS:
+        weighs = weighs & (_weight(name, weights.get(name, {})) > 0)
+    sums = rows.groupBy(*LEAF).agg(F.sum("_tokens").alias("_supply"))
+    leaves = own.written(sums.withColumn("_holds", F.when(weighs, F.col("_supply")).otherwise(0)), "leaves")
+    total, holds = (x or 0 for x in leaves.agg(F.sum("_supply"), F.sum("_holds")).first())
     level = leaves.limit(0).select(F.lit(0).cast("decimal(25,0)").alias("_budget"))
     for k, name in enumerate(LEVELS):
-        own, above = LEAF[: k + 1], LEAF[:k]
-        nodes = leaves.groupBy(*own).agg((F.sum("_supply") * epochs).cast("decimal(25,0)").alias("_cap")).withColumn("_w", _weight(name, weights.get(name, {})))
-        nodes = nodes.join(level, above) if k else nodes.withColumn("_budget", F.least(F.lit(total * share // 100), F.lit(total * epochs)).cast("decimal(25,0)"))
-        level = filled(nodes, above or [F.lit(1)], f"_{name}").select(*own, F.col("_got").cast("decimal(25,0)").alias("_budget"))
-    return written(leaves.join(level, LEAF).select(*LEAF, "_supply", F.col("_budget").cast("long").alias("_got")), "budgets")[0]
+        node, above = LEAF[: k + 1], LEAF[:k]
+        caps = leaves.groupBy(*node).agg((F.sum("_holds") * epochs).cast("decimal(25,0)").alias("_cap"))
+        nodes = caps.withColumn("_w", F.greatest(_weight(name, weights.get(name, {})), F.lit(1).cast("decimal(12,0)")))
+        whole = F.lit(min(total * share // 100, holds * epochs)).cast("decimal(25,0)")
+        nodes = nodes.join(level, above) if k else nodes.withColumn("_budget", whole)
+        level = filled(nodes, above or [F.lit(1)], f"_{name}").select(*node, F.col("_got").cast("decimal(25,0)").alias("_budget"))
+    dealt = leaves.join(level, LEAF).select(*LEAF, "_supply", F.col("_budget").cast("long").alias("_got"))
+    return own.written(dealt, "budgets")
 
 
 def _boundary(sums: DataFrame, group: list[str], digit: str, want: str) -> DataFrame:
@@ -93,35 +104,48 @@ def _boundary(sums: DataFrame, group: list[str], digit: str, want: str) -> DataF
     return d.where((F.col("_run") < F.col(want)) & (F.col("_run") + F.col("_sum") >= F.col(want))).select(*group, F.col(digit).alias(f"{digit}_at"), (F.col(want) - F.col("_run")).alias(f"{want}_{digit}"))
 
 
-def mixed(documents: DataFrame, share: int = SHARE, epochs: int = EPOCHS, seed: str = SEED, weights: dict[str, dict[str, int]] = WEIGHTS) -> DataFrame:
-    """The columns of documents for every document and epoch taken, with _domain, _lang, _source, _tokens, _epoch, _taken."""
-    names = documents.columns
-    lite, lite_path = written(with_leaf(documents.select("doc_id", "text", "lang", "source")).select("doc_id", *LEAF, "_tokens").where("_tokens > 0"), "lite")
-    leaf = budgets(lite, share, epochs, weights).withColumn("_whole", F.expr("_got div _supply")).withColumn("_want", F.expr("_got - _whole * _supply")).drop("_supply", "_got")
+def _mixed(documents: DataFrame, names: dict[str, str], share: int, epochs: int, seed: str, weights: dict[str, dict[str, int]]) -> DataFrame:
+    """The columns of documents (shielded) for every document and epoch taken, with LEAF, _tokens, _epoch, _taken."""
+    own = Scratch(documents.sparkSession)
+    lite = own.written(with_leaf(documents, names).select(*LEAF, "_id", "_tokens").where("_tokens > 0"), "lite")
+    leaf = budgets(lite, own, share, epochs, weights).withColumn("_whole", F.expr("_got div _supply")).withColumn("_want", F.expr("_got - _whole * _supply"))
+    leaf = leaf.drop("_supply", "_got")
 
     def keyed(rows: DataFrame, by: DataFrame) -> DataFrame:
-        key = F.md5(F.concat_ws("|", F.lit(seed), F.col("_whole").cast("string"), F.col("doc_id").cast("string")))
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        key = F.md5(F.concat_ws("|", F.lit(seed), F.col("_whole").cast("string"), F.col("_id")))
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
         every = by.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         return salted.join(every, [*LEAF, "_salt"]).withColumn("_key", key).withColumn("_d1", F.substring("_key", 1, 2)).withColumn("_d2", F.substring("_key", 3, 2))
 
     first = keyed(lite, leaf.where("_want > 0")).groupBy(*LEAF, "_d1").agg(F.sum("_tokens").alias("_sum"), F.first("_want").alias("_want"))
-    first = written(_boundary(first, LEAF, "_d1", "_want"), "first")[0]
+    first = own.written(_boundary(first, LEAF, "_d1", "_want"), "first")
     second = keyed(lite, leaf.join(first, LEAF)).where("_d1 = _d1_at").groupBy(*LEAF, "_d2").agg(F.sum("_tokens").alias("_sum"), F.first("_want__d1").alias("_want__d1"))
     second = _boundary(second, LEAF, "_d2", "_want__d1")
-    leaf = written(leaf.join(first, LEAF, "left").join(second, LEAF, "left"), "bounds")[0]
-    rows = keyed(with_leaf(documents).where("_tokens > 0"), leaf)
+    bounds, _ = written(leaf.join(first, LEAF, "left").join(second, LEAF, "left"), "bounds")
+    own.clear()  # what is returned reads the written bounds alone
+    rows = keyed(with_leaf(documents, names).where("_tokens > 0"), bounds)
     before = (F.col("_want") > 0) & ((F.col("_d1") < F.col("_d1_at")) | ((F.col("_d1") == F.col("_d1_at")) & (F.col("_d2") < F.col("_d2_at"))))
     some = F.col("_whole").cast("int") + before.cast("int")
-    out = [*names, *LEAF, "_tokens", "_epoch", "_taken"]
+    out = [*documents.columns, *LEAF, "_tokens", "_epoch", "_taken"]
     plain = rows.where(some > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0), some - 1))).withColumn("_taken", F.col("_tokens"))
     at = rows.where((F.col("_want") > 0) & (F.col("_d1") == F.col("_d1_at")) & (F.col("_d2") == F.col("_d2_at")))
-    run = F.coalesce(F.sum("_tokens").over(W.partitionBy(*LEAF).orderBy("_key", "doc_id", "_tokens", F.md5("text")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    last = at.withColumn("_run", run).where("_run < _want__d1__d2").withColumn("_epoch", F.col("_whole").cast("int")).withColumn("_taken", F.least(F.col("_tokens"), F.col("_want__d1__d2") - F.col("_run")))
-    discard(documents.sparkSession, lite_path)  # what is returned reads the written bounds alone
+    by = W.partitionBy(*LEAF).orderBy("_key", "_id", "_tokens", F.md5(F.col(names["text"]))).rowsBetween(W.unboundedPreceding, -1)
+    last = at.withColumn("_run", F.coalesce(F.sum("_tokens").over(by), F.lit(0))).where("_run < _want__d1__d2")
+    last = last.withColumn("_epoch", F.col("_whole").cast("int")).withColumn("_taken", F.least(F.col("_tokens"), F.col("_want__d1__d2") - F.col("_run")))
     return plain.select(*out).unionByName(last.select(*out))
 
 
+def mixed(documents: DataFrame, share: int = SHARE, epochs: int = EPOCHS, seed: str = SEED, weights: dict[str, dict[str, int]] = WEIGHTS) -> DataFrame:
+    """The columns of documents for every document and epoch taken, with _domain, _lang, _source, _tokens, _epoch, _taken.
+
+    Columns of documents that have one of those names are left out.
+    """
+    rows, names = shielded(documents)
+    extra = [*LEAF, "_tokens", "_epoch", "_taken"]
+    taken = _mixed(rows, names, share, epochs, seed, weights)
+    return taken.select(*[F.col(k).alias(c) for c, k in names.items() if c not in extra], *extra)
+
+
 def op4(documents: DataFrame) -> DataFrame:
     taken = mixed(documents.select("doc_id", "text", "lang", "source"))
     return taken.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"), F.col("_taken").alias("taken_tokens"))
@@ -129,7 +153,8 @@ def op4(documents: DataFrame) -> DataFrame:
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """A row for each document and epoch taken, with the document's own columns; the last of a leaf's budget is whole."""
-    return mixed(documents).select(*documents.columns)
+    rows, names = shielded(documents)
+    return restored(_mixed(rows, names, SHARE, EPOCHS, SEED, WEIGHTS), names)
 
 
 def _level_sql(k: int) -> str:
