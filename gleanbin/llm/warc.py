@@ -13,7 +13,9 @@ runs' pieces, k - 1 inner nodes, log2(k) comparisons a capture. The ranges in or
 
 Defined cases: null html is an empty payload; null url has an empty URL key and no target URI; line breaks in a url are
 percent-encoded; null page_id sorts first, and is a revisit if another row of its group has an id; rows that repeat the
-smallest page_id of a group are responses all; an empty table gives an empty index; other columns are ignored.
+smallest page_id of a group are responses all; very long payloads are written in files of their own, so an archive is
+read with about 256 MB of payloads or one record in memory; an empty table gives an empty index; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanbin.llm.common import scratch, written
+from gleanbin.llm.common import discard, scratch, written
 
 LEAST = 100
 END = "\r\n\r\n"
-#: Records of an archive file at most; captures of a key range, about.
-FILE_RECORDS, RANGE_ROWS = 4000, 200_000
+#: Records of an archive file at most, of payloads of SMALL bytes at most; 16 times larger ones make 16 times fewer, so that
+#: a file has about 256 MB of payloads, or one record. Captures of a key range, about.
+FILE_RECORDS, SMALL, RANGE_ROWS = 4000, 1 << 16, 200_000
 INDEX = "url_key string, capture_ts string, page_id long, archive string, record long, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
@@ -76,8 +79,14 @@ def record() -> Column:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Gzipped WARC files of FILE_RECORDS records at most, in the folder path."""
-    with_duplicates(pages).select(record().alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """Gzipped WARC files of FILE_RECORDS records at most, in the folder path; large payloads in files of fewer."""
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    rows, low, high, records = with_duplicates(pages), -1, SMALL, FILE_RECORDS
+    while low < longest or low < 0:  # sizes in steps of 16: one step for ordinary pages, eight at most
+        part = rows.where((F.col("n_bytes") > low) & (F.col("n_bytes") <= high)) if longest > SMALL else rows
+        out = part.select(record().alias("value")).write.mode("append").option("lineSep", END).option("compression", "gzip")
+        out.option("maxRecordsPerFile", records).text(path)
+        low, high, records = high, high * 16, max(1, records // 16)
 
 
 def url_key(url: str) -> str:
@@ -229,6 +238,7 @@ def history(pages: DataFrame) -> DataFrame:
     path = scratch(spark, "warc")
     write_archives(pages, path)
     index, _ = written(runs(spark, path), "runs")
+    discard(spark, path)
     return merged(index, index.count())
 
 
