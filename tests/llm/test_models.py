@@ -64,6 +64,45 @@ def test_segments_do_not_mix_documents():
         assert np.allclose(both[k], alone[0], rtol=1e-4) and abs(both[k].sum() - len(t)) < 1e-2 * len(t)
 
 
+def plain_score(net, data: bytes) -> np.ndarray:
+    """The mean of each label's probability over all positions, byte by byte and segment by segment."""
+
+    def states(gru, run):
+        n = gru.state.shape[0]
+        h, out = np.zeros(n), []
+        for b in run:
+            given, own = gru.inputs[b].astype(float), h @ gru.state
+            z, r = (1 / (1 + np.exp(-(given[k * n : (k + 1) * n] + own[k * n : (k + 1) * n]))) for k in (0, 1))
+            h = z * h + (1 - z) * np.tanh(given[2 * n :] + r * own[2 * n :])
+            out.append(h)
+        return out
+
+    total = np.zeros(len(net.langs))
+    for k in range(0, len(data), langid.SEGMENT):
+        part = data[k : k + langid.SEGMENT]
+        left, right = states(net.left, part), states(net.right, part[::-1])[::-1]
+        for a, b in zip(left, right):
+            e = np.concatenate([a, b]) @ net.out + net.bias
+            e = np.exp(e - e.max())
+            total += e / e.sum()
+    return total / len(data)
+
+
+def test_predictions_against_a_plain_recurrence(spark, smallest):
+    d = spark.read.parquet(f"{smallest}/documents.parquet").select("doc_id", "text", "lang")
+    net = langid.fitted(d)
+    d = d.orderBy(F.length("text")).limit(40).unionByName(spark.createDataFrame([(-1, "é ß 한 x", None), (-2, "ab " * 500, None)], "doc_id long, text string, lang string"))
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    compared = 0
+    for r in langid.predict(d, net, ["doc_id"]).collect():
+        t = texts[r["doc_id"]]
+        if t and any(c.isalpha() for c in t):
+            p = plain_score(net, t.encode())
+            assert abs(p.max() - r["score"]) < 1e-3 and (r["lang_pred"] == net.langs[p.argmax()] or np.sort(p)[-1] - np.sort(p)[-2] < 1e-3)
+            compared += 1
+    assert compared >= 20
+
+
 # --- token counts -----------------------------------------------------------------------------------------------------------
 
 
