@@ -191,9 +191,10 @@ class Forest:
                     every = np.concatenate(scores)
                     if len(every) > K:
                         best = max(best, np.partition(every, len(every) - K - 1)[-K - 1])
-                if depth <= self.deepest(best, log[k]):
+                needed = self.deepest(best, log[k])
+                if depth <= needed:
                     break
-                depth -= 1
+                depth = depth - 1 if held[k, int(needed)] < n else 0  # where it would end at the root, at once
             else:
                 to_root.append(k)
             if at:
