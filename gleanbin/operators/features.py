@@ -40,8 +40,9 @@ def dense(sparse: DataFrame, size: int, value: str = "n") -> DataFrame:
 
 
 def hashed_counts(items: DataFrame, bins: int = 1024) -> DataFrame:
-    """row, idx, n by hash of the item."""
-    return items.groupBy("row", F.pmod(F.xxhash64("item"), F.lit(bins)).cast("int").alias("idx")).agg(F.count("*").alias("n"))
+    """row, idx, n by hash (the first 32 bits of MD5) of the item."""
+    place = F.conv(F.substring(F.md5("item"), 1, 8), 16, 10).cast("long")
+    return items.groupBy("row", F.pmod(place, F.lit(bins)).cast("int").alias("idx")).agg(F.count("*").alias("n"))
 
 
 # --- per-function vectors -------------------------------------------------------------------------------------------------

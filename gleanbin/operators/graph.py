@@ -25,6 +25,28 @@ def call_nodes(functions: DataFrame, edges: DataFrame) -> DataFrame:
     return every.select("binary_id", "name", F.when(F.col("attributes").isNull(), "import").otherwise("defined").alias("role"), "attributes")
 
 
+def relabelled(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """binary_id, src, dst by name. names: binary_id, node, name; edges to nodes without a name drop out."""
+    of = lambda c: names.select("binary_id", F.col("node").alias(c), F.col("name").alias(f"_{c}"))
+    return edges.join(of("src"), ["binary_id", "src"]).join(of("dst"), ["binary_id", "dst"]).select("binary_id", F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+
+
+def dot_texts(edges: DataFrame) -> DataFrame:
+    """graph, dot: each graph's edges as a DOT text. Backslashes and quotes in names are escaped."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    line = F.concat(F.lit("  "), quoted("src"), F.lit(" -> "), quoted("dst"), F.lit(";\n"))
+    lists = edges.groupBy("graph").agg(F.sort_array(F.collect_list(line)).alias("l"))
+    return lists.select("graph", F.concat(F.lit("digraph {\n"), F.array_join("l", ""), F.lit("}\n")).alias("dot"))
+
+
+def parse_dot(texts: DataFrame) -> DataFrame:
+    """graph, src, dst of DOT texts with quoted names."""
+    p = r'"((?:[^"\\]|\\.)*)" -> "((?:[^"\\]|\\.)*)"'
+    plain = lambda c: F.regexp_replace(c, r"\\(.)", "$1")
+    each = texts.select("graph", F.explode(F.regexp_extract_all("dot", F.lit(p), F.lit(0))).alias("e"))
+    return each.select("graph", plain(F.regexp_extract("e", p, 1)).alias("src"), plain(F.regexp_extract("e", p, 2)).alias("dst"))
+
+
 def without_loops(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst")
 
@@ -45,15 +67,15 @@ def cfg_edges(exits: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame
 def transitive_closure(edges: DataFrame, with_self: bool = True) -> DataFrame:
     """src, dst of all that is reachable from each node with an outgoing edge; with_self also the node.
 
-    Semi-naive: each round joins the pairs found last with the edges and keeps the new ones, in written tables.
+    Each round doubles the length of the paths known: the pairs found last are joined with all pairs, and the new ones
+    kept, in written tables; so there are as many rounds as the logarithm of the longest distance.
     """
     spark = edges.sparkSession
     edge, edge_path = written(edges.select("src", "dst").distinct(), "closure-edges")
-    all_, parts = edge, [edge_path]
-    new, hop = edge, edge.toDF("mid", "dst")
+    all_, new, parts = edge, edge, [edge_path]
     while True:
-        step = new.toDF("src", "mid").join(hop, "mid").select("src", "dst").distinct().join(all_, ["src", "dst"], "left_anti")
-        new, path = written(step, "closure-new")
+        step = new.toDF("src", "mid").join(all_.toDF("mid", "dst"), "mid").select("src", "dst").distinct()
+        new, path = written(step.join(all_, ["src", "dst"], "left_anti"), "closure-new")
         if not new.limit(1).count():
             discard(spark, path)
             break
@@ -154,30 +176,39 @@ def hop_counts(edges: DataFrame, hops: int = 4) -> DataFrame:
 def node_embedding(edges: DataFrame, size: int = 16, rounds: int = 3, seed: int = 5) -> DataFrame:
     """binary_id, node, vector: a truncated factorisation of each graph's normalised adjacency, by binary.
 
-    Repeatedly fits the residual with a rank-size/rounds approximation, as boosted factorisations do. A graph is one
-    group; graphs are binaries' call graphs, a few thousand nodes.
+    Repeatedly fits the residual with a rank-size/rounds approximation, as boosted factorisations do. The residual is never
+    made: its products are those of the edges less those of the approximations so far, so a graph of n nodes and m edges
+    takes memory for m + n x size numbers. A graph is one group: a binary's call graph.
     """
     import numpy as np
     import pandas as pd
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["src"]) | set(pdf["dst"]))
-        at = {n: k for k, n in enumerate(names)}
-        a = np.zeros((len(names), len(names)))
-        for s, d in zip(pdf["src"], pdf["dst"]):
-            a[at[s], at[d]] = a[at[d], at[s]] = 1
-        deg = np.maximum(a.sum(axis=1), 1)
-        rest, parts, each = a / np.sqrt(deg[:, None] * deg[None, :]), [], -(-size // rounds)
-        rng = np.random.default_rng(seed)
+        names, at = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
+        n, m = len(names), len(pdf)
+        pair = np.unique(np.sort(np.stack([at[:m], at[m:]], axis=1), axis=1), axis=0)
+        i, j = np.concatenate([pair, pair[pair[:, 0] != pair[:, 1]][:, ::-1]]).T
+        degree = np.maximum(np.bincount(i, minlength=n), 1)
+        weight = 1 / np.sqrt(degree[i] * degree[j])
+
+        def residual(x: np.ndarray, fits: list) -> np.ndarray:
+            out = np.zeros_like(x)
+            np.add.at(out, i, weight[:, None] * x[j])
+            for q, w in fits:
+                out -= q @ (w.T @ x)
+            return out
+
+        rng, each = np.random.default_rng(seed), -(-size // rounds)
+        fits: list = []
         for _ in range(rounds):
-            q, _ = np.linalg.qr(rest @ rng.normal(size=(len(names), each)))
-            w = rest.T @ q
-            parts.append(np.pad(w, ((0, 0), (0, each - w.shape[1]))))
-            rest = rest - q @ w.T
-        v = np.hstack(parts)[:, :size]
+            q, _ = np.linalg.qr(residual(rng.normal(size=(n, each)), fits))
+            back = [(w, q0) for q0, w in fits]  # the transposed residual
+            fits.append((q, residual(q, back)))
+        v = np.hstack([np.pad(w, ((0, 0), (0, each - w.shape[1]))) for _, w in fits])[:, :size]
         return pd.DataFrame({"binary_id": pdf["binary_id"].iloc[0], "node": names, "vector": list(v)})
 
-    return edges.select("binary_id", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).groupBy("binary_id").applyInPandas(fit, "binary_id long, node string, vector array<double>")
+    e = edges.select("binary_id", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
+    return e.groupBy("binary_id").applyInPandas(fit, "binary_id long, node string, vector array<double>")
 
 
 def block_walks(exits: DataFrame, entries: DataFrame, walks: int = 3, seed: int = 3) -> DataFrame:
@@ -220,10 +251,10 @@ def taint_closure(flows: DataFrame) -> DataFrame:
     spark = flows.sparkSession
     base, path = written(flows.select("func", "arg", "callee", "reg").distinct(), "taint")
     all_, new, parts = base, base, [path]
-    on = base.toDF("via", "entered", "callee", "reg")
-    while True:
-        step = new.toDF("func", "arg", "via", "entered").join(on, ["via", "entered"]).select("func", "arg", "callee", "reg").distinct().join(all_, ["func", "arg", "callee", "reg"], "left_anti")
-        new, path = written(step, "taint-new")
+    while True:  # paths double in length each round
+        on = all_.toDF("via", "entered", "callee", "reg")
+        step = new.toDF("func", "arg", "via", "entered").join(on, ["via", "entered"]).select("func", "arg", "callee", "reg").distinct()
+        new, path = written(step.join(all_, ["func", "arg", "callee", "reg"], "left_anti"), "taint-new")
         if not new.limit(1).count():
             discard(spark, path)
             return all_

@@ -19,10 +19,13 @@ def lookup(points: DataFrame, intervals: DataFrame, key: list[str], width: int,
     width should be about the usual length of an interval.
     """
     i = widened(intervals)
-    i = i.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
+    i = i.select(*key, *[F.col(c).alias(f"_of_{c}") for c in i.columns if c not in key])
+    touched = F.sequence(F.floor(F.col("_of_start") / width), F.floor((F.col("_of_end") - 1) / width))
+    i = i.withColumn("_bucket", F.explode(touched))
     p = points.withColumn("_bucket", F.floor(F.col("at") / width))
-    on = [p[k] == i[k] for k in (*key, "_bucket")] + [p["at"] >= i["start"], p["at"] < i["end"]]
-    return p.join(i, on, how).select(*[p[c] for c in points.columns], *[i[c] for c in intervals.columns if c not in key])
+    same = [F.col(f"_p.{c}") == F.col(f"_i.{c}") for c in (*key, "_bucket")]
+    hit = p.alias("_p").join(i.alias("_i"), [*same, F.col("at") >= F.col("_of_start"), F.col("at") < F.col("_of_end")], how)
+    return hit.select(*[F.col(f"_p.{c}") for c in points.columns], *[F.col(f"_of_{c}").alias(c) for c in intervals.columns if c not in key])
 
 
 def outside(points: DataFrame, intervals: DataFrame, key: list[str], width: int) -> DataFrame:
@@ -91,6 +94,12 @@ def ghidra_functions(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").rlike(p)).select(_hex(F.regexp_extract("value", p, 1)).alias("vaddr"), F.regexp_extract("value", p, 2).cast("decimal(20,0)").alias("size"), F.concat(F.lit("fcn."), F.regexp_extract("value", p, 1)).alias("name"))
 
 
+def radare_functions(lines: DataFrame) -> DataFrame:
+    """vaddr, size, name of address, blocks, size (or old -> new size) and name lines."""
+    p = r"^0x([0-9a-fA-F]+)\s+\d+\s+(?:\d+\s+->\s+)?(\d+)\s+(\S+)"
+    return lines.where(F.col("value").rlike(p)).select(_hex(F.regexp_extract("value", p, 1)).alias("vaddr"), F.regexp_extract("value", p, 2).cast("decimal(20,0)").alias("size"), F.regexp_extract("value", p, 3).alias("name"))
+
+
 # --- blocks -------------------------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanbin.plans.tables import discard, written
+
 # Names that are known by rule and need no prediction.
 CALCULABLE = ["init", "fini", "csu_init", "csu_fini", "start", "libc_csu_init", "libc_csu_fini", "libc_start", "deregister_tm_clones", "register_tm_clones", "rtld_init", "main", "do_global_dtors_aux", "frame_dummy", "frame_dummy_init_array_entry", "do_global_dtors_aux_fini_array_entry", "init_array_end", "init_array_start", "start_main", "libc_start_main"]
 
@@ -104,38 +106,54 @@ def train_ensemble(x: DataFrame, y: DataFrame, propensities: DataFrame, trees: i
 def predict_ensemble(x: DataFrame, model: DataFrame, most_nodes: int = 400_000) -> DataFrame:
     """row, label, score: the mean over trees of the leaf's scores, scaled to at most 1 in each row.
 
-    The model is shipped to the workers; it has at most trees x 2 x share / leaf nodes, which is checked.
+    The model is written before it is read twice, so it is trained once. It is shipped to the workers; it has at most
+    trees x 2 x share / leaf nodes, which is checked. A batch of rows goes down a tree together.
     """
     import numpy as np
     import pandas as pd
 
+    model, path = written(model, "ensemble")
     nodes = model.count()
     if nodes > most_nodes:
         raise ValueError(f"the model has {nodes} nodes; train fewer trees or smaller shares")
-    forest: dict[int, dict[int, tuple]] = {}
+    by_tree: dict[int, list] = {}
     for r in model.collect():
-        forest.setdefault(r["tree"], {})[r["node"]] = (np.array(r["w"]), r["left"], r["right"], [(d["label"], d["p"]) for d in r["labels"]])
-    shared = x.sparkSession.sparkContext.broadcast(forest)
+        by_tree.setdefault(r["tree"], []).append(r)
+    discard(x.sparkSession, path)
+    names = sorted({d["label"] for rows in by_tree.values() for r in rows for d in r["labels"]})
+    at = {label: k for k, label in enumerate(names)}
+    dim = max((len(r["w"]) for rows in by_tree.values() for r in rows), default=1)
+    forest = []
+    for rows in by_tree.values():
+        n = max(r["node"] for r in rows) + 1
+        w, below, leaves = np.zeros((n, dim)), np.full((n, 2), -1), {}
+        for r in rows:
+            if r["left"] >= 0:
+                w[r["node"]], below[r["node"]] = r["w"], (r["left"], r["right"])
+            else:
+                leaves[r["node"]] = np.array([at[d["label"]] for d in r["labels"]], int), np.array([d["p"] for d in r["labels"]])
+        forest.append((w, below, leaves))
+    shared = x.sparkSession.sparkContext.broadcast((forest, np.array(names, object)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest, names = shared.value
         for pdf in batches:
-            rows, names, scores = [], [], []
-            for row, vector in zip(pdf["row"], pdf["vector"]):
-                v = np.asarray(vector, float)
-                v = v / max(np.linalg.norm(v), 1e-12)
-                total: dict[str, float] = {}
-                for tree in shared.value.values():
-                    w, left, right, labels = tree[0]
-                    while left >= 0:
-                        w, left, right, labels = tree[right if v @ w[:-1] > w[-1] else left]
-                    for label, p in labels:
-                        total[label] = total.get(label, 0.0) + p
-                top = max(total.values(), default=1.0)
-                for label, s in total.items():
-                    rows.append(row)
-                    names.append(label)
-                    scores.append(s / top)
-            yield pd.DataFrame({"row": rows, "label": names, "score": scores})
+            for begin in range(0, len(pdf), 1000):
+                part = pdf.iloc[begin : begin + 1000]
+                v = np.array([np.asarray(a, float) for a in part["vector"]])
+                v = np.hstack([v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), np.full((len(v), 1), -1.0)])
+                total = np.zeros((len(v), len(names)))
+                for w, below, leaves in forest:
+                    node = np.zeros(len(v), int)
+                    while (go := np.flatnonzero(below[node, 0] >= 0)).size:
+                        right = (v[go] * w[node[go]]).sum(axis=1) > 0
+                        node[go] = below[node[go], right.astype(int)]
+                    for leaf in np.unique(node):
+                        own, p = leaves[leaf]
+                        total[np.ix_(node == leaf, own)] += p
+                top = np.maximum(total.max(axis=1, initial=0), 1e-300)
+                r, label = np.nonzero(total)
+                yield pd.DataFrame({"row": part["row"].to_numpy()[r], "label": names[label], "score": (total / top[:, None])[r, label]})
 
     kind = dict(x.dtypes)["row"]
     return x.select("row", "vector").mapInPandas(run, f"row {kind}, label string, score double")
@@ -210,11 +228,13 @@ class Autoencoder:
 
 
 def encoded(x: DataFrame, code: int = 32, sample: int = 20_000, **options) -> DataFrame:
-    """row, embedding by an autoencoder trained on at most sample rows (by hash of the row)."""
+    """row, embedding by an autoencoder trained on about sample rows, those of the smallest hashes."""
     import numpy as np
     import pandas as pd
 
-    train = np.array([r["vector"] for r in x.orderBy(F.xxhash64("row")).limit(sample).collect()], float)
+    n = x.count()
+    chosen = x.where(F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, sample / max(n, 1)))))
+    train = np.array([r["vector"] for r in chosen.select("vector", F.xxhash64("row").alias("h")).orderBy("h").limit(2 * sample).collect()], float)
     net = Autoencoder(train.shape[1] if len(train) else 1, code=code)
     if len(train):
         net.fit(train, **options)

@@ -32,6 +32,16 @@ def paths(binaries: DataFrame) -> DataFrame:
     return binaries.select("path").distinct()
 
 
+def ids(binaries: DataFrame) -> DataFrame:
+    return binaries.select("id")
+
+
+def binary(binaries: DataFrame, id: int | None = None, sha256: bytes | None = None) -> DataFrame:
+    """The binary of an id, or of a digest: one row or none."""
+    chosen = F.col("id") == id if id is not None else F.col("sha256") == F.lit(sha256)
+    return binaries.where(chosen).limit(1)
+
+
 def id_of(binaries: DataFrame, path: str) -> DataFrame:
     """The id at path: one row or none."""
     return binaries.where(F.col("path") == path).select("id").limit(1)
@@ -48,6 +58,36 @@ def elements(functions: DataFrame, *columns: str) -> DataFrame:
     return functions.select(F.explode(every).alias("name")).distinct()
 
 
+def constants(functions: DataFrame, numbers: Column) -> DataFrame:
+    """constant: the distinct elements of an array of numbers."""
+    return functions.select(F.explode(numbers).alias("constant")).distinct()
+
+
+def callers_callees(functions: DataFrame, binaries: DataFrame, path: str, name: str) -> DataFrame:
+    """The functions of a name in the binary at path, with their callers and callees."""
+    return binary_symbols(functions, binaries, path).where(F.col("name") == name)
+
+
+def feature_vectors(functions: DataFrame, vectors: DataFrame, limit: int | None = None) -> DataFrame:
+    """id and vector of functions that have one; limit is the reader's own."""
+    found = functions.select("id").join(vectors.where("vector is not null"), "id")
+    return found if limit is None else found.orderBy("id").limit(limit)
+
+
+def path_fields(df: DataFrame, path: str, fields: list[str]) -> DataFrame:
+    """Adds the last segments of a path, one a field, empty ones as null."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    return df.select("*", *[F.get(parts, F.size(parts) - len(fields) + k).alias(f) for k, f in enumerate(fields)])
+
+
+def functions_at(calls: DataFrame, functions: DataFrame, width: int) -> DataFrame:
+    """calls (id, binary_id, vaddr) with the function of their binary that holds the address."""
+    from gleanbin.operators.intervals import lookup
+
+    held = functions.withColumn("start", F.col("vaddr")).withColumn("end", F.col("vaddr") + F.col("size")).drop("vaddr", "size")
+    return lookup(calls.withColumnRenamed("vaddr", "at"), held, ["binary_id"], width)
+
+
 def known_functions(functions: DataFrame) -> DataFrame:
     """name: all callees and callers."""
     return elements(functions, "callees", "callers")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanbin.plans.tables import written
+
 
 def hash_percent(key: str | Column, salt: str = "") -> Column:
     """0 to 99 from the MD5 of a key: the same in every run, engine and partitioning."""
@@ -71,10 +73,16 @@ def inverse_propensity(n_t: Column, n: Column, a: float = 0.5, b: float = 0.425)
 
 
 def propensities(labels: DataFrame, k: int, a: float = 0.5, b: float = 0.425, least: int = 3) -> DataFrame:
-    """label, n_t, inv_prop; N is the number of rows that keep a label."""
-    kept = preconditioned(labels, k, least)
-    n = kept.agg(F.count_distinct("row").alias("n"))
-    return kept.groupBy("label").agg(F.count("*").alias("n_t")).join(F.broadcast(n), F.lit(True)).select("label", "n_t", inverse_propensity(F.col("n_t"), F.col("n"), a, b).alias("inv_prop"))  # n is one row
+    """label, n_t, inv_prop; N is the number of rows that keep a label.
+
+    The pairs are written once; a label's support is its n_t, so only the rows are counted again.
+    """
+    pairs, _ = written(labels, "labels")
+    kept, _ = written(label_space(pairs, k).where(F.col("n") > least), "label-space")
+    rows = pairs.join(F.broadcast(kept.select("label")), "label", "left_semi")  # k labels at most
+    n = rows.agg(F.count_distinct("row").alias("rows"))
+    with_n = kept.join(F.broadcast(n), F.lit(True))  # one row
+    return with_n.select("label", F.col("n").alias("n_t"), inverse_propensity(F.col("n"), F.col("rows"), a, b).alias("inv_prop"))
 
 
 def fit_propensity(counts: list[int], n: int, samples: int = 26) -> tuple[float, float, float]:

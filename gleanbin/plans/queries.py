@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanbin.operators import dataflow, features, graph, intervals, knn, learning, lm, metrics, names, similarity, store, vocab
+from gleanbin.plans.tables import scratch
 from gleanbin.sources import io
 
 QUERIES: dict = {}
@@ -146,10 +147,9 @@ def executables_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.functions_of_kind(functions(spark, sf_dir), binaries(spark, sf_dir), "executable").select("id", "name")
 
 
-@query(f"with {FUNCTIONS} select distinct x as name from (select callee as x, pos from f union all select caller, pos from f) where x is not null and x not in (select name from f where pos <= 2)")
+@query("select distinct s_name as name from supplier join lineitem on l_suppkey = s_suppkey")
 def dynamic_imports_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = functions(spark, sf_dir)
-    return store.known_functions(f).join(store.unknown_functions(f.where("pos <= 2")), "name", "left_anti")
+    return store.dynamic_imports(importing_functions(spark, sf_dir))
 
 
 @query(f"with {FUNCTIONS} select distinct callee as name from f where callee is not null")
@@ -188,12 +188,15 @@ def upsert_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.upsert(stored, new.unionByName(new.withColumn("id", F.col("id") + 1_000_000)), ["id"])
 
 
-@query("select vec_id as row, (unnest(range(8)))::int as idx, round(unnest(embedding[1:8])::double, 6) as value from embeddings")
+@query("select * from (select vec_id as row, (unnest(range(64)))::int as idx, round(unnest(embedding)::double, 6) as value from embeddings) where value <> 0")
 def xml_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the matrix as text and reads the files back."""
     e = table(spark, sf_dir, "embeddings")
     n = e.agg(F.max("vec_id")).first()[0] or 0
-    entries = e.select(F.col("vec_id").alias("row"), F.posexplode(F.slice("embedding", 1, 8)).alias("idx", "value")).withColumn("value", F.col("value").cast("double"))
-    return io.parse_matrix(io.matrix_lines(entries, n + 1, 8)).select("row", "idx", F.round("value", 6).alias("value"))
+    entries = e.select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("idx", "value")).withColumn("value", F.col("value").cast("double"))
+    path = scratch(spark, "matrix")
+    io.write_matrix(entries, n + 1, 64, path)
+    return io.read_matrix(spark, path).where("value <> 0").select("row", "idx", F.round("value", 6).alias("value"))
 
 
 # --- names ---------------------------------------------------------------------------------------------------------------
@@ -273,10 +276,10 @@ def register_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(F.transform(features.register_classes(F.array(r)), lambda x: x.cast("int").cast("string")), "").alias("bits"))
 
 
-@query("""with c as (select user_id, event_type, count(distinct event_id % 5) as n from events where event_id % 5 < 3 group by user_id, event_type)
+@query("""with c as (select user_id, event_type, count(distinct event_id % 5) as n from events group by user_id, event_type)
   select user_id, count(*)::double as callees, sum(n)::double as registers from c group by user_id""")
 def taint_arg_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 5 < 3").select("user_id", "event_type", F.concat(F.lit("r"), (F.col("event_id") % 5).cast("string")).alias("reg"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.concat(F.lit("r"), (F.col("event_id") % 5).cast("string")).alias("reg"))
     to = e.groupBy("user_id", "event_type").agg(F.collect_set("reg").alias("regs")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "regs"))).alias("to"))
     v = features.taint_argument_vector(F.create_map(F.lit("rdi"), F.col("to")))
     return to.select("user_id", v[0].alias("callees"), v[1].alias("registers"))
@@ -329,17 +332,30 @@ def two_hop_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.two_hop_paths(line_edges(spark, sf_dir))
 
 
-@query(f"with {FUNCTIONS}, d as (select distinct binary_id, name from f where pos <= 2), n as (select binary_id, name from f where pos <= 2 union select binary_id, callee from f where pos <= 2 and callee is not null union select binary_id, caller from f where pos <= 2 and caller is not null) select n.binary_id, n.name, case when d.name is null then 'import' else 'defined' end as role from n left join d using (binary_id, name)")
+IMPORTING = f"{FUNCTIONS}, i as (select binary_id, name, callee, s_name from f join (select l_orderkey, l_linenumber, l_suppkey from lineitem) on l_orderkey = binary_id and l_linenumber = pos join supplier on s_suppkey = l_suppkey)"
+
+
+def importing_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """functions() that also call their supplier's name, which no binary defines."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    l = lineitem(spark, sf_dir).select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), "l_suppkey").join(s, "l_suppkey").select("id", "s_name")
+    return functions(spark, sf_dir).join(l, "id").withColumn("callees", F.concat("callees", F.array("s_name"))).drop("s_name")
+
+
+@query(f"with {IMPORTING}, n as (select binary_id, name, 'defined' as role from i union select binary_id, s_name, 'import' from i) select binary_id, name, role from n")
 def node_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = functions(spark, sf_dir).where("pos <= 2").select("binary_id", "id", F.col("name").alias("real_name"), "callees", "callers", F.col("id").alias("vaddr"), F.lit("GLOBAL").alias("binding"), "size")
+    f = importing_functions(spark, sf_dir).select("binary_id", "id", F.col("name").alias("real_name"), "callees", "callers", F.col("id").alias("vaddr"), F.lit("GLOBAL").alias("binding"), "size")
     return graph.call_nodes(f, graph.call_edges(f)).select("binary_id", "name", "role")
 
 
-@query("""with recursive x as (select distinct l_suppkey % 50 as func, l_linenumber % 3 as arg, l_partkey % 50 as callee, l_quantity::int % 3 as reg from lineitem where l_linenumber <= 3 and l_tax = 0.0),
-  r as (select * from x union select r.func, r.arg, x.callee, x.reg from r join x on x.func = r.callee and x.arg = r.reg) select func::bigint as func, arg::int as arg, callee::bigint as callee, reg::int as reg from r""")
+FLOWS = "x as (select distinct l_orderkey * 100 + l_linenumber as func, l_partkey % 3 as arg, l_orderkey * 100 + l_linenumber + 1 as callee, l_suppkey % 3 as reg from lineitem)"
+
+
+@query(f"with recursive {FLOWS}, r as (select * from x union select r.func, r.arg, x.callee, x.reg from r join x on x.func = r.callee and x.arg = r.reg) select func, arg, callee, reg from r")
 def taint_flow_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = lineitem(spark, sf_dir).where("l_linenumber <= 3 and l_tax = 0.0")
-    return graph.taint_closure(l.select((F.col("l_suppkey") % 50).alias("func"), (F.col("l_linenumber") % 3).cast("int").alias("arg"), (F.col("l_partkey") % 50).alias("callee"), (F.col("l_quantity").cast("int") % 3).alias("reg")))
+    """Each line is a function that calls the next: one argument in, one register out."""
+    own = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    return graph.taint_closure(lineitem(spark, sf_dir).select(own.alias("func"), (F.col("l_partkey") % 3).alias("arg"), (own + 1).alias("callee"), (F.col("l_suppkey") % 3).alias("reg")))
 
 
 # --- intervals -----------------------------------------------------------------------------------------------------------
@@ -407,20 +423,30 @@ def liveness_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataflow.live_variables(blocks, _flow_edges(spark, sf_dir)).select("function_id", "bb_idx", F.array_join("live_in", ",").alias("live_in"))
 
 
-@query()
+@query("""with recursive x as (select l_orderkey as f, l_linenumber as i, 'r' || (l_partkey % 5) as a, 'r' || (l_suppkey % 5) as b from lineitem),
+  r as (select f, i, case when a in ('r0', 'r1') then list_distinct(['r0', 'r1', b]) else list_filter(['r0', 'r1'], lambda v: v <> b) end as t from x where i = 1
+    union all select x.f, x.i, case when list_contains(t, a) then list_distinct(list_append(t, b)) else list_filter(t, lambda v: v <> b) end from r join x on x.f = r.f and x.i = r.i + 1)
+  select f as function_id, i as bb_idx, array_to_string(list_sort(t), ',') as tainted from r""")
 def taint_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _statements(spark, sf_dir).select("function_id", "bb_idx", F.when(F.col("bb_idx") == 1, F.array(F.lit("r0"), F.lit("r1"))).otherwise(F.array().cast("array<string>")).alias("sources"), F.array(F.struct("inputs", "outputs")).alias("statements"))
-    return dataflow.tainted_variables(s, _flow_edges(spark, sf_dir))
+    return _joined(dataflow.tainted_variables(s, _flow_edges(spark, sf_dir)), "tainted")
 
 
-@query()
+STEP = "case when o = 1 then p when coalesce(case a when 0 then r0 when 1 then r1 when 2 then r2 else r3 end, -1) < 0 then -1 else (case a when 0 then r0 when 1 then r1 when 2 then r2 else r3 end) + 8 end"
+
+
+@query(f"""with recursive x as (select l_orderkey as f, l_linenumber as i, l_linenumber % 3 as o, l_partkey as p, l_partkey % 4 as a, l_suppkey % 4 as t from lineitem),
+  r as (select f, 0 as i, null::bigint as r0, null::bigint as r1, null::bigint as r2, null::bigint as r3 from (select distinct f from x)
+    union all select x.f, x.i, {", ".join(f"case when t = {k} then {STEP} else r{k} end" for k in range(4))} from r join x on x.f = r.f and x.i = r.i + 1)
+  select f as function_id, i as bb_idx, concat_ws(',', {", ".join(f"case when r{k} < 0 then 'r{k}=T' else 'r{k}=' || r{k} end" for k in range(4))}) as constants from r where i > 0""")
 def constants_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = lambda c, n: F.concat(F.lit("r"), (F.col(c) % n).cast("string"))
     l = lineitem(spark, sf_dir)
     op = F.when(F.col("l_linenumber") % 3 == 1, "const").otherwise("add")
     first = F.when(op == "const", F.col("l_partkey").cast("string")).otherwise(reg("l_partkey", 4))
     s = l.select(F.col("l_orderkey").alias("function_id"), F.col("l_linenumber").alias("bb_idx"), F.array(F.struct(reg("l_suppkey", 4).alias("target"), op.alias("op"), first.alias("a"), F.lit("8").alias("b"))).alias("assigns"))
-    return dataflow.propagated_constants(s, _flow_edges(spark, sf_dir))
+    c = dataflow.propagated_constants(s, _flow_edges(spark, sf_dir))
+    return c.select("function_id", "bb_idx", F.array_join(F.transform("constants", lambda x: F.concat(x["name"], F.lit("="), x["value"])), ",").alias("constants"))
 
 
 @query("with d as (select l_orderkey as f, l_linenumber as i, l_returnflag as v from lineitem where l_linestatus = 'F') select l_orderkey as function_id, l_linenumber as bb_idx, (select v from d where f = l_orderkey and i <= l_linenumber order by i desc limit 1) as value from lineitem")
@@ -608,9 +634,10 @@ def grouped_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("name", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("sizes"), F.array_join("paths", ",").alias("paths"))
 
 
-@query("select p_name as name from part group by p_name having not bool_or(p_size % 2 = 1)")
+@query("select p_brand || ' ' || p_size || ' ' || p_name as name from part group by 1 having not bool_or(p_partkey % 2 = 1)")
 def static_only_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.when(F.col("p_size") % 2 == 1, "dynamic").otherwise("static").alias("linkage"))
+    name = F.concat_ws(" ", "p_brand", F.col("p_size").cast("string"), "p_name")
+    p = table(spark, sf_dir, "part").select(name.alias("name"), F.when(F.col("p_partkey") % 2 == 1, "dynamic").otherwise("static").alias("linkage"))
     return store.static_only(p)
 
 
@@ -650,11 +677,27 @@ def in_all_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- more features, graphs and programs -------------------------------------------------------------------------------------
 
 
-@query("select l_orderkey as function_id, count(distinct l_partkey) as ntemp_vars, string_agg(l_returnflag, ',' order by l_returnflag) as operations from lineitem group by l_orderkey")
-def block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ir_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as statements: three kinds, a constant each, and a target where they jump; a block is a line status."""
     l = lineitem(spark, sf_dir)
-    s = l.select(F.col("l_orderkey").alias("function_id"), F.lit(0).alias("bb_idx"), F.lit("Put").alias("kind"), F.col("l_returnflag").alias("operation"), F.col("l_partkey").alias("temp"), F.lit(None).cast("decimal(20,0)").alias("constant"), F.lit(None).cast("decimal(20,0)").alias("target"))
-    return features.block_counts(s).select("function_id", "ntemp_vars", F.array_join("operations", ",").alias("operations"))
+    kind = F.element_at(F.array(*map(F.lit, ["IMark", "Exit", "Put"])), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    block = F.when(F.col("l_linestatus") == "F", 0).otherwise(1)
+    big = F.when(F.col("l_suppkey") % 5 == 0, F.lit(9223372036854775807)).otherwise(F.col("l_suppkey")).cast("decimal(20,0)")
+    return l.select(F.col("l_orderkey").alias("function_id"), block.alias("bb_idx"), kind.alias("kind"), F.col("l_returnflag").alias("operation"), F.col("l_partkey").alias("temp"), big.alias("constant"), F.col("l_partkey").cast("decimal(20,0)").alias("target"))
+
+
+IR = """s as (select l_orderkey as f, case l_linestatus when 'F' then 0 else 1 end as b, l_linenumber % 3 as k, l_returnflag as op, l_partkey as t, l_suppkey as c from lineitem),
+  g as (select f, b, count(*) filter (k = 0) as ninstructions, count(distinct t) as ntemp_vars, string_agg(op, ',' order by op) as operations,
+    coalesce(string_agg(c, ',' order by c) filter (k <> 1 and c % 5 <> 0), '') as constants, coalesce(string_agg(distinct t, ',' order by t) filter (k = 1), '') as callees from s group by f, b)"""
+
+
+def _joined(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in columns})
+
+
+@query(f"with {IR} select f as function_id, b as bb_idx, ninstructions, ntemp_vars, operations, constants, callees from g")
+def block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined(features.block_counts(_ir_statements(spark, sf_dir)), "operations", "constants", "callees")
 
 
 @query("select p_partkey, regexp_matches(p_name, '^[a-m]')::int as a, regexp_matches(p_name, '^s')::int as s from part")
@@ -709,12 +752,18 @@ def boundary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.bap_functions(table(spark, sf_dir, "part").select(text.alias("value")))
 
 
-@query("select c_custkey // 100 as function_id, 't' || (c_custkey % 100) as var, case when c_nationkey % 2 = 0 then 'r' || c_nationkey else 'm' || c_nationkey end as depends from customer where c_custkey % 100 > 0 union select c_custkey // 100, 'x' || (c_custkey % 100), 't' || (c_custkey % 100) from customer where c_custkey % 100 > 0 union select c_custkey // 100, 'x' || (c_custkey % 100), case when c_nationkey % 2 = 0 then 'r' || c_nationkey else 'm' || c_nationkey end from customer where c_custkey % 100 > 0")
+@query("""with recursive u as (select c_custkey // 100 as f, 't' || (c_custkey % 100) as var, case when c_nationkey % 2 = 0 then 'r' || c_nationkey else 'm' || c_nationkey end as dep from customer
+    union select c_custkey // 100, 't' || (c_custkey % 100), 't' || (c_custkey % 100 - 1) from customer where c_custkey % 10 > 0 union select c_custkey // 100, 'x' || (c_custkey % 100), 't' || (c_custkey % 100) from customer),
+  r as (select * from u union select r.f, r.var, u.dep from r join u on u.f = r.f and u.var = r.dep) select f as function_id, var, dep as depends from r""")
 def data_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey % 100 > 0").select(F.expr("c_custkey div 100").alias("function_id"), (F.col("c_custkey") % 100).cast("string").alias("k"), "c_nationkey")
-    leaf = F.concat(F.when(F.col("c_nationkey") % 2 == 0, "r").otherwise("m"), F.col("c_nationkey").cast("string"))
-    uses = c.select("function_id", F.concat(F.lit("t"), "k").alias("var"), leaf.alias("depends")).union(c.select("function_id", F.concat(F.lit("x"), "k"), F.concat(F.lit("t"), "k")))
-    return dataflow.data_dependencies(uses)
+    """Variables x of temporaries t, each computed from a register or a cell and, nine times in ten, the temporary before."""
+    k = F.col("c_custkey") % 100
+    named = lambda letter, n: F.concat(F.lit(letter), n.cast("string"))
+    c = table(spark, sf_dir, "customer").withColumn("function_id", F.expr("c_custkey div 100"))
+    leaf = F.when(F.col("c_nationkey") % 2 == 0, named("r", F.col("c_nationkey"))).otherwise(named("m", F.col("c_nationkey")))
+    uses = c.select("function_id", named("t", k).alias("var"), leaf.alias("depends"))
+    uses = uses.union(c.where("c_custkey % 10 > 0").select("function_id", named("t", k), named("t", k - 1)))
+    return dataflow.data_dependencies(uses.union(c.select("function_id", named("x", k), named("t", k))))
 
 
 @query("select label, (select count(*) from embeddings)::double / ((select count(distinct label) from embeddings) * count(*)) as weight from embeddings group by label")
@@ -745,3 +794,6 @@ def principal_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("binary_id"), F.col("s_suppkey").alias("src"), F.expr("s_suppkey div 2").alias("dst"))
     return graph.node_embedding(f, size=8, rounds=2)
+
+
+from gleanbin.plans import more_queries  # noqa: E402, F401  adds its own

@@ -11,14 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="gleanbin-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/gleanbin/{tag}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """df as a Parquet table, reread, and its path: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/gleanbin/{tag}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
