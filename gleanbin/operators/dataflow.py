@@ -5,6 +5,7 @@ A function is the unit of its fixpoint: a few hundred blocks in one row, never a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,8 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanbin.operators.graph import transitive_closure
+from gleanbin.plans.tables import discard, written
 
-# Argument registers of the System V calling convention; names of parts of 64-bit registers.
+TEMPORARY = re.compile(r"t\d+")
+
+# Argument and return registers of the System V calling convention; functions that never return; names of
+# parts of 64-bit registers.
+RETURNS = ["rax", "xmm0", "ymm0"]
+NON_RETURNING = ["exit", "exit_group", "assert_fail", "stack_check_fail", "errx", "err"]
 ARGUMENTS = ["rdi", "rsi", "rdx", "rcx", "r8", "r9"]
 PARTS = {f"r{c}x": [f"e{c}x", f"{c}x", f"{c}h", f"{c}l"] for c in "abcd"} | {f"r{n}": [f"e{n}", n, f"{n}l"] for n in ("si", "di", "bp", "sp")} | {f"r{k}": [f"r{k}d", f"r{k}w", f"r{k}b"] for k in range(8, 16)}
 SIZES = {64: 0, 32: 1, 16: 2}
@@ -32,6 +39,21 @@ def register_size(name: Column) -> Column:
     return F.coalesce(F.element_at(pairs, name), F.when(name.startswith("xmm"), 128).when(name.startswith("ymm"), 256).when(name.startswith("zmm"), 512))
 
 
+def block_exits(blocks: DataFrame, names: DataFrame, never: list[str] = NON_RETURNING) -> DataFrame:
+    """function_id, start, target, jumpkind: the exits of blocks, and after a call the assumed return.
+
+    blocks: function_id, start, size, next, jumpkind, others array<struct<target, jumpkind>> (exits within the block); a
+    target that is no constant is null. names: vaddr, name. A call of a function that never returns has no assumed return;
+    nor has a call of no constant address.
+    """
+    normal = blocks.select("function_id", "start", F.col("next").alias("target"), "jumpkind")
+    inner = blocks.select("function_id", "start", F.explode("others").alias("o")).select("function_id", "start", "o.target", "o.jumpkind")
+    gone = names.where(F.col("name").isin(never)).select(F.col("vaddr").alias("next")).distinct()
+    calls = blocks.where("jumpkind = 'Ijk_Call' and next is not null").join(gone, "next", "left_anti")
+    back = calls.select("function_id", "start", (F.col("start") + F.col("size")).alias("target"), F.lit("Ijk_AssumedRet").alias("jumpkind"))
+    return normal.unionByName(inner).unionByName(back)
+
+
 # --- blocks -------------------------------------------------------------------------------------------------------------
 
 
@@ -131,19 +153,23 @@ def tainted_variables(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """function_id, bb_idx, tainted on leaving: the forward fixpoint.
 
     blocks: function_id, bb_idx, sources (tainted on entry of the block), statements array<struct<inputs, outputs>> in
-    order. A block's taint is what its predecessors leave, with its sources; it only rises, so the iteration ends.
+    order, and, where it is there, returned array<struct<taint, regs>>: of a block that ends in a call, what the callee
+    returns in when taint is tainted. A block's taint is what its predecessors leave, without temporaries (t0, t1, ...),
+    with its sources; it only rises, so the iteration ends.
     """
 
     def solve(body, after, before):
         steps = {i: [(set(s["inputs"]), set(s["outputs"])) for s in x["statements"]] for i, x in body.items()}
         out: dict[int, set] = {i: set() for i in body}
+        passed: dict[int, set] = {i: set() for i in body}
 
         def update(i: int) -> bool:
-            t = set(body[i]["sources"]).union(*(out[j] for j in before[i]))
+            t = set(body[i]["sources"]).union(*(passed[j] for j in before[i]))
             for inputs, outputs in steps[i]:
                 t = t | outputs if inputs & t else t - outputs
-            t |= out[i]
+            t = t.union(*(r["regs"] for r in body[i].get("returned") or () if r["taint"] in t)) | out[i]
             changed, out[i] = t != out[i], t
+            passed[i] = {x for x in t if not TEMPORARY.match(x)}
             return changed
 
         _until_stable(sorted(body, reverse=True), after, update)
@@ -152,33 +178,110 @@ def tainted_variables(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return _per_function(blocks, edges, solve, NAMES).withColumnRenamed("value", "tainted")
 
 
+def taint_flows(state: DataFrame, exits: DataFrame, stack: DataFrame | None = None) -> DataFrame:
+    """function_id, callee, args: tainted argument registers, and cells above the stack pointer, at each call; what is
+    tainted of the return registers at a return has the callee __FUNC_RET__. Flows with nothing tainted drop out.
+
+    state: function_id, bb_idx, tainted; exits: function_id, bb_idx, callee, jumpkind; stack: function_id, bb_idx, rsp.
+    """
+    at = exits.where(F.col("jumpkind").isin("Ijk_Call", "Ijk_Ret") & ((F.col("jumpkind") == "Ijk_Ret") | F.col("callee").isNotNull()))
+    both = at.join(state, ["function_id", "bb_idx"])
+    both = both.withColumn("rsp", F.lit(None).cast("long")) if stack is None else both.join(stack, ["function_id", "bb_idx"], "left")
+    cell = lambda x: F.conv(F.regexp_extract(x, "^mem_0x([0-9a-fA-F]+)$", 1), 16, 10).cast("decimal(20,0)")
+    above = F.filter("tainted", lambda x: F.coalesce(cell(x) > F.col("rsp") + 8, F.lit(False)))
+    among = lambda names: F.filter(F.array(*map(F.lit, names)), lambda r: F.array_contains("tainted", r))
+    call = F.col("jumpkind") == "Ijk_Call"
+    args = F.when(call, F.concat(among(ARGUMENTS), above)).otherwise(among(RETURNS))
+    return both.select("function_id", F.when(call, F.col("callee")).otherwise("__FUNC_RET__").alias("callee"), F.array_sort(args).alias("args")).where(F.size("args") > 0).distinct()
+
+
+def interprocedural_flows(blocks: DataFrame, edges: DataFrame, exits: DataFrame, functions: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """function_id, arg, callee, args: the taint flows of each function and argument, through callees' returns.
+
+    functions: function_id, name, arguments; known: name, taint, regs of functions outside the corpus. Every round
+    analyses with what callees were found to return in the round before, until no function returns anything new.
+    """
+    spark = blocks.sparkSession
+    empty = F.array().cast("array<string>")
+    slot = F.explode(F.sequence(F.lit(0), F.lit(len(ARGUMENTS) - 1)))
+    register = F.element_at(F.array(*map(F.lit, ARGUMENTS)), F.col("slot") + 1)
+    runs = functions.withColumn("slot", slot).withColumn("arg", register).where(F.array_contains("arguments", F.col("arg")))
+    runs = runs.select(F.col("function_id").alias("of"), "name", "arg", (F.col("function_id") * 8 + F.col("slot")).alias("function_id"))
+    per = lambda df: df.withColumnRenamed("function_id", "of").join(runs.select("of", "function_id", "arg"), "of").drop("of")
+    first = blocks.groupBy("function_id").agg(F.min("bb_idx").alias("entry"))
+    body = per(blocks.join(first, "function_id"))
+    body = body.withColumn("sources", F.when(F.col("bb_idx") == F.col("entry"), F.array("arg")).otherwise(empty)).drop("entry", "arg")
+    body, body_path = written(body, "taint-blocks")
+    edge, edge_path = written(per(edges).drop("arg"), "taint-edges")
+    out, out_path = written(per(exits).drop("arg"), "taint-exits")
+    start = spark.createDataFrame([], "name string, taint string, regs array<string>") if known is None else known
+    returned, path, n = start, None, -1
+    while True:
+        calls = out.where("jumpkind = 'Ijk_Call'").join(returned.withColumnRenamed("name", "callee"), "callee")
+        calls = calls.groupBy("function_id", "bb_idx").agg(F.collect_list(F.struct("taint", "regs")).alias("returned"))
+        state = tainted_variables(body.join(calls, ["function_id", "bb_idx"], "left"), edge)
+        flows, flows_path = written(taint_flows(state, out).join(runs, "function_id").select(F.col("of").alias("function_id"), "name", "arg", "callee", "args"), "taint-flows")
+        own = flows.where("callee = '__FUNC_RET__'").groupBy("name", F.col("arg").alias("taint")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("args")))).alias("regs"))
+        found = own.agg(F.sum(F.size("regs"))).first()[0] or 0
+        if path:
+            discard(spark, path)
+        if found == n:
+            discard(spark, body_path, edge_path, out_path)
+            return flows.drop("name")
+        returned, path, n = own.unionByName(start), flows_path, found
+
+
 TOP = "T"
 
 
-def propagated_constants(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+OPERATIONS = {
+    "add": lambda a, b: a + b,
+    "sub": lambda a, b: a - b,
+    "mul": lambda a, b: a * b,
+    "and": lambda a, b: a & b,
+    "or": lambda a, b: a | b,
+    "xor": lambda a, b: a ^ b,
+    "shl": lambda a, b: a << (b & 63),
+    "shr": lambda a, b: a >> (b & 63),
+    "sar": lambda a, b: (a - ((a >> 63) << 64)) >> (b & 63),
+}
+
+
+def propagated_constants(blocks: DataFrame, edges: DataFrame, stack: int | None = None) -> DataFrame:
     """function_id, bb_idx, constants (name, value) on leaving: the forward fixpoint; T where values conflict.
 
-    blocks: function_id, bb_idx, assigns array<struct<target, op, a, b>> in order; op is const (a), copy (a), add (a, b),
-    sub (a, b), call (adds 8 to rsp) or any other (T). Values only fall to T, so the iteration ends.
+    blocks: function_id, bb_idx, assigns array<struct<target, op, a, b>> in order; op is const (a), copy (a), one of
+    OPERATIONS (a, b) modulo 2^64, load (the cell at a + b), store (a in the cell at target + b), call (adds 8 to rsp, as
+    callees are taken to return) or any other (T). Cells are mem_0x... of constant addresses; a load from elsewhere is T, and
+    a store to elsewhere leaves the cells as they are. With stack, rsp and rbp hold it on entry of the first block. Values
+    only fall to T, so the iteration ends.
     """
 
     def solve(body, after, before):
         out: dict[int, dict[str, str]] = {}
+        entry = min(body)
 
         def apply(state: dict[str, str], s: dict) -> None:
             value = lambda x: state.get(x, TOP) if x and not x.lstrip("-").isdigit() else x
+            cell = lambda base, off: TOP if TOP in (base, off) or not base else f"mem_0x{(int(base) + int(off or 0)) % (1 << 64):x}"
             target, op, a, b = s["target"], s["op"], value(s["a"]), value(s["b"])
             if op == "call":
                 target, op, a, b = "rsp", "add", state.get("rsp", TOP), "8"
-            if op in ("const", "copy"):
+            if op == "store":
+                at = cell(value(target), b)
+                if at != TOP:
+                    state[at] = a
+            elif op == "load":
+                state[target] = state.get(cell(a, b), TOP)
+            elif op in ("const", "copy"):
                 state[target] = a
-            elif op in ("add", "sub") and TOP not in (a, b):
-                state[target] = str((int(a) + (int(b) if op == "add" else -int(b))) % (1 << 64))
+            elif op in OPERATIONS and TOP not in (a, b) and a and b:
+                state[target] = str(OPERATIONS[op](int(a) % (1 << 64), int(b) % (1 << 64)) % (1 << 64))
             else:
                 state[target] = TOP
 
         def update(i: int) -> bool:
-            state: dict[str, str] = {}
+            state: dict[str, str] = {"rsp": str(stack), "rbp": str(stack)} if stack is not None and i == entry else {}
             for j in before[i]:
                 for k, v in out.get(j, {}).items():
                     state[k] = v if state.get(k, v) == v else TOP
@@ -196,6 +299,12 @@ def propagated_constants(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return _per_function(blocks, edges, solve, VALUES).withColumnRenamed("value", "constants")
 
 
+def stack_pointers(constants: DataFrame, start: int) -> DataFrame:
+    """function_id, bb_idx, rsp_start, rsp of blocks whose stack pointer is constant, for stack_frame()."""
+    c = constants.select("function_id", "bb_idx", F.get(F.filter("constants", lambda x: (x["name"] == "rsp") & (x["value"] != TOP)), F.lit(0))["value"].cast("long").alias("rsp"))
+    return c.where("rsp is not null").withColumn("rsp_start", F.lit(start).cast("long"))
+
+
 def function_arguments(live: DataFrame, entry: int = 0) -> DataFrame:
     """function_id, arguments: the argument registers live on entry, in calling order."""
     order = F.array(*map(F.lit, ARGUMENTS))

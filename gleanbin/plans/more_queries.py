@@ -449,6 +449,47 @@ def return_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(dataflow.return_registers(flows_), "returns")
 
 
+@query("""with c as (select l_orderkey as f, l_linenumber * 16 as start, l_returnflag as r, case when l_suppkey % 4 > 0 then l_suppkey end as next, l_partkey as p from lineitem)
+  select f as function_id, start, next as target, case r when 'R' then 'Ijk_Call' when 'A' then 'Ijk_Ret' else 'Ijk_Boring' end as jumpkind from c union all select f, start, p, 'Ijk_Boring' from c where p % 2 = 0
+  union all select f, start, start + 12, 'Ijk_AssumedRet' from c where r = 'R' and next is not null and next % 10 <> 3""")
+def block_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exits with assumed returns; every tenth supplier is a function that never returns."""
+    l = lineitem(spark, sf_dir)
+    kind = F.when(F.col("l_returnflag") == "R", "Ijk_Call").when(F.col("l_returnflag") == "A", "Ijk_Ret").otherwise("Ijk_Boring")
+    other = F.array(F.struct(F.col("l_partkey").alias("target"), F.lit("Ijk_Boring").alias("jumpkind")))
+    b = l.select(
+        F.col("l_orderkey").alias("function_id"),
+        (F.col("l_linenumber") * 16).cast("long").alias("start"),
+        F.lit(12).alias("size"),
+        F.when(F.col("l_suppkey") % 4 > 0, F.col("l_suppkey")).alias("next"),
+        kind.alias("jumpkind"),
+        F.when(F.col("l_partkey") % 2 == 0, other).otherwise(F.slice(other, 1, 0)).alias("others"),
+    )
+    s = table(spark, sf_dir, "supplier")
+    return dataflow.block_exits(b, s.select(F.col("s_suppkey").alias("vaddr"), F.when(F.col("s_suppkey") % 10 == 3, "exit").otherwise("other").alias("name")))
+
+
+@query("""with recursive x as (select l_orderkey as f, l_linenumber as i, ['rdi', 'rsi', 'rbx'][l_partkey % 3 + 1] as a, ['rsi', 'rbx', 'rdi'][l_suppkey % 3 + 1] as b, l_returnflag = 'R' as call, l_suppkey % 5 as callee from lineitem),
+  r as (select f, 0 as i, ['rdi'] as t from (select distinct f from x)
+    union all select z.f, z.i, case when call and callee < 2 and list_contains(t, 'rsi') then list_distinct(list_append(t, 'rax')) else t end from (
+      select x.f, x.i, call, callee, case when list_contains(t, a) then list_distinct(list_append(t, b)) else list_filter(t, lambda v: v <> b) end as t from r join x on x.f = r.f and x.i = r.i + 1) z)
+  select distinct r.f as function_id, case when call then 'fn' || callee else '__FUNC_RET__' end as callee, array_to_string(list_sort(list_filter(t, lambda v: case when call then v in ('rdi', 'rsi') else v = 'rax' end)), ',') as args
+  from r join x on x.f = r.f and x.i = r.i join (select f as mf, max(i) as n from x group by f) on mf = r.f where (call or r.i = n) and len(list_filter(t, lambda v: case when call then v in ('rdi', 'rsi') else v = 'rax' end)) > 0""")
+def callee_return_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Taint of rdi through an order's lines; two callees return rax when rsi is tainted; the last line returns unless it calls."""
+    pick = lambda items, c, n: F.element_at(F.array(*map(F.lit, items)), (F.col(c) % n + 1).cast("int"))
+    l = lineitem(spark, sf_dir)
+    one = F.array(F.struct(F.array(pick(["rdi", "rsi", "rbx"], "l_partkey", 3)).alias("inputs"), F.array(pick(["rsi", "rbx", "rdi"], "l_suppkey", 3)).alias("outputs")))
+    b = l.select(F.col("l_orderkey").alias("function_id"), F.col("l_linenumber").alias("bb_idx"), one.alias("statements"))
+    last = l.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n"))
+    call = F.col("l_returnflag") == "R"
+    exits = l.join(last, "l_orderkey").where(call | (F.col("l_linenumber") == F.col("n"))).select(F.col("l_orderkey").alias("function_id"), F.col("l_linenumber").alias("bb_idx"), F.when(call, F.concat(F.lit("fn"), (F.col("l_suppkey") % 5).cast("string"))).alias("callee"), F.when(call, "Ijk_Call").otherwise("Ijk_Ret").alias("jumpkind"))
+    f = l.select(F.col("l_orderkey").alias("function_id")).distinct().select("function_id", F.concat(F.lit("own"), F.col("function_id").cast("string")).alias("name"), F.array(F.lit("rdi")).alias("arguments"))
+    known = spark.createDataFrame([("fn0", "rsi", ["rax"]), ("fn1", "rsi", ["rax"])], "name string, taint string, regs array<string>")
+    edges = line_edges(spark, sf_dir).select(F.expr("src div 100").alias("function_id"), (F.col("src") % 100).cast("int").alias("src"), (F.col("dst") % 100).cast("int").alias("dst"))
+    return _joined(dataflow.interprocedural_flows(b, edges, exits, f, known), "args").select("function_id", "callee", "args")
+
+
 # --- learning and metrics -------------------------------------------------------------------------------------------------
 
 
@@ -530,6 +571,47 @@ def lsh_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.lsh_nearest(e.where("id % 100 = 0"), e, 8, width=2.0)
 
 
+# --- language model ---------------------------------------------------------------------------------------------------------
+
+ESTIMATES = """p as (select p_partkey, list_concat(['<s>'], list_concat(string_split(p_name, ' '), ['</s>'])) as p from part),
+  g as (select 1 as n, array_to_string(p[i:i], ' ') as gram, '' as tail from (select p, unnest(range(1, len(p) + 1)) as i from p) union all select 2, array_to_string(p[i:i + 1], ' '), p[i + 1] from (select p, unnest(range(1, len(p))) as i from p)
+    union all select 3, array_to_string(p[i:i + 2], ' '), array_to_string(p[i + 1:i + 2], ' ') from (select p, unnest(range(1, len(p) - 1)) as i from p)),
+  c as (select n, gram, tail, count(*) as c from g group by all),
+  a as (select n, gram, c as a from c where (n = 3 or starts_with(gram, '<s> ')) union all select n - 1, tail, count(*) from c where n > 1 group by all),
+  t as (select n, count(*) filter (a = 1) as t1, count(*) filter (a = 2) as t2, count(*) filter (a = 3) as t3, count(*) filter (a = 4) as t4 from a group by n),
+  y as (select n, 1 - 2 * t1 / nullif(t1 + 2 * t2, 0) * t2 / nullif(t1, 0) as x1, 2 - 3 * t1 / nullif(t1 + 2 * t2, 0) * t3 / nullif(t2, 0) as x2, 3 - 4 * t1 / nullif(t1 + 2 * t2, 0) * t4 / nullif(t3, 0) as x3 from t),
+  d as (select n, coalesce(x1 between 0 and 1 and x2 between 0 and 2 and x3 between 0 and 3, false) as ok, x1, x2, x3 from y),
+  e as (select a.n, gram, a, case when a = 1 then case when ok then x1 else 0.5 end when a = 2 then case when ok then x2 else 1 end else case when ok then x3 else 1.5 end end as d,
+    string_split(gram, ' ') as w from a join d on d.n = a.n),
+  f as (select *, array_to_string(w[1:n - 1], ' ') as context, array_to_string(w[2:], ' ') as tail from e),
+  s as (select n, context, sum(a) as al, sum(d) / sum(a) as gamma, count(*) as kinds from f group by n, context),
+  u as (select gamma / (kinds + 1) as unk from s where n = 1),
+  p1 as (select 1 as n, gram, (a - d) / al + unk as p from f join s on s.n = f.n and s.context = f.context, u where f.n = 1 union all select 1, '<unk>', unk from u),
+  p2 as (select 2 as n, f.gram, (a - d) / al + gamma * p1.p as p from f join s on s.n = f.n and s.context = f.context join p1 on p1.gram = f.tail where f.n = 2),
+  p3 as (select 3 as n, f.gram, (a - d) / al + gamma * p2.p as p from f join s on s.n = f.n and s.context = f.context join p2 on p2.gram = f.tail where f.n = 3),
+  m as (select x.n, x.gram, log10(p) as prob, coalesce(log10(gamma), 0) as backoff from (select * from p1 union all select * from p2 union all select * from p3 union all select 1, '<s>', 1e-99) x left join s on s.n > 1 and s.context = x.gram)"""
+
+
+def _name_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", lm.split_labels(F.col("p_name")).alias("labels"))
+
+
+@query(f"with {ESTIMATES} select n, gram, round(prob, 6) as prob, round(backoff, 6) as backoff from m")
+def lm_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(lm.estimates(lm.ngrams(_name_labels(spark, sf_dir), "labels")), "prob", "backoff")
+
+
+@query(f"""with {ESTIMATES}, q as (select p_partkey as row, list_concat(['<s>'], list_concat(list_reverse(string_split(p_name, ' ')), ['</s>'])) as q from part),
+  k as (select row, i, q[i] as g1, array_to_string(q[i - 1:i], ' ') as g2, case when i > 2 then array_to_string(q[i - 2:i], ' ') end as g3, q[i - 1] as c1, case when i > 2 then array_to_string(q[i - 2:i - 1], ' ') end as c2 from (select row, q, unnest(range(2, len(q) + 1)) as i from q))
+  select row, round(sum(coalesce(m3.prob, coalesce(b2.backoff, 0) + coalesce(m2.prob, coalesce(b1.backoff, 0) + coalesce(m1.prob, log10(unk))))), 6) as score
+  from k left join m m1 on m1.gram = g1 left join m m2 on m2.gram = g2 left join m m3 on m3.gram = g3 left join m b1 on b1.gram = c1 left join m b2 on b2.gram = c2, u group by row""")
+def lm_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names from the last word to the first, so that contexts are met that the model has not seen."""
+    s = _name_labels(spark, sf_dir)
+    model = lm.fitted(s, "labels")
+    return _rounded(lm.backoff_scores(s.withColumn("labels", F.reverse("labels")), "p_partkey", "labels", model.table), "score")
+
+
 # --- similarity -----------------------------------------------------------------------------------------------------------
 
 PAIRS = """m as (select l_orderkey as id, count(*)::int as n, sum(l_quantity)::bigint as size, string_agg(l_returnflag, '' order by l_linenumber) as h, list_sort(list(distinct l_partkey)) as keys, list(l_returnflag order by l_linenumber) as seq,

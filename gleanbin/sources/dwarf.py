@@ -5,30 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanbin.plans.tables import written
 
-def type_names(entries: DataFrame, depth: int = 16) -> DataFrame:
+
+def type_names(entries: DataFrame) -> DataFrame:
     """binary_id, offset, type_name: pointers add *, constants const, other entries without a name take that of their type.
 
-    Each step follows one reference for all entries at once; depth bounds chains that refer to themselves.
+    Each round follows one reference for the entries that are not named yet, until none is left to follow. A chain that
+    comes back to itself, which no round can end, is void from where it does: it is left after as many rounds as it has
+    entries at most, when every entry still on its way has been seen before.
     """
-    own = entries.select("binary_id", "offset", "tag", "name", "type")
-    found = own.select("binary_id", F.col("offset").alias("at"), "offset", F.lit("").alias("before"), F.lit("").alias("after"), "tag", "name", "type")
-    for _ in range(depth):
+    own, _ = written(entries.select("binary_id", "offset", "tag", "name", "type"), "dwarf")
+    to = own.select("binary_id", F.col("offset").alias("to"), F.col("tag").alias("t_tag"), F.col("name").alias("t_name"), F.col("type").alias("t_type"))
+    empty = F.array().cast("array<long>")
+    found = own.select("binary_id", F.col("offset").alias("at"), F.col("offset").cast("long").alias("on"), F.lit("").alias("before"), F.lit("").alias("after"), "tag", "name", "type", empty.alias("seen"))
+    done = None
+    while True:
         follow = F.col("type").isNotNull() & (F.col("tag").isin("pointer_type", "const_type") | F.col("name").isNull())
-        to = own.select("binary_id", F.col("offset").alias("to"), F.col("tag").alias("t_tag"), F.col("name").alias("t_name"), F.col("type").alias("t_type"))
-        d = found.withColumn("to", F.when(follow, F.col("type"))).join(to, ["binary_id", "to"], "left")
-        go = F.col("to").isNotNull()
-        found = d.select(
+        round_again = F.array_contains("seen", F.col("on"))
+        end = found.where(~follow | round_again).select("binary_id", F.col("at").alias("offset"), F.concat("before", F.coalesce(F.when(~round_again | ~follow, F.col("name")), F.lit("void")), "after").alias("type_name"))
+        done = end if done is None else done.unionByName(end)
+        going = found.where(follow & ~round_again).withColumn("to", F.col("type")).join(to, ["binary_id", "to"], "left")
+        step = going.select(
             "binary_id",
             "at",
-            "offset",
-            F.concat("before", F.when(go & (F.col("tag") == "const_type"), "const ").otherwise("")).alias("before"),
-            F.concat(F.when(go & (F.col("tag") == "pointer_type"), "*").otherwise(""), "after").alias("after"),
-            F.when(go, F.col("t_tag")).otherwise(F.col("tag")).alias("tag"),
-            F.when(go, F.col("t_name")).otherwise(F.col("name")).alias("name"),
-            F.when(go, F.col("t_type")).otherwise(F.when(follow, None).otherwise(F.col("type"))).alias("type"),
+            F.col("to").cast("long").alias("on"),
+            F.concat("before", F.when(F.col("tag") == "const_type", "const ").otherwise("")).alias("before"),
+            F.concat(F.when(F.col("tag") == "pointer_type", "*").otherwise(""), "after").alias("after"),
+            F.col("t_tag").alias("tag"),
+            F.col("t_name").alias("name"),
+            F.col("t_type").alias("type"),
+            F.concat("seen", F.array("on")).alias("seen"),
         )
-    return found.select("binary_id", F.col("at").alias("offset"), F.concat("before", F.coalesce("name", F.lit("void")), "after").alias("type_name"))
+        found, _ = written(step, "dwarf-step")
+        if not found.limit(1).count():
+            return done
 
 
 def prototypes(entries: DataFrame) -> DataFrame:

@@ -268,3 +268,105 @@ def test_autoencoder_learns():
     x = rng.normal(size=(300, 3)) @ rng.normal(size=(3, 10))
     losses = learning.Autoencoder(10, 16, 4).fit(x, epochs=15, rate=5e-3)
     assert len(losses) == 15 and losses[-1] < losses[0]
+
+
+def test_constants_through_memory_and_stack(spark):
+    a = "array<struct<target:string,op:string,a:string,b:string>>"
+    steps = [("rsp", "sub", "rsp", "16"), ("rsp", "store", "7", "8"), ("rax", "load", "rsp", "8"), ("rbx", "mul", "rax", "6"), ("rcx", "shr", "rbx", "1"), ("rdx", "load", "rax", "0"), ("rsi", "store", "1", "0")]
+    b = spark.createDataFrame([(1, 0, steps), (1, 1, [("rsp", "call", None, None)]), (1, 2, [("rsp", "store", "9", "0"), ("r8", "load", "rsp", "0"), ("r9", "sar", "-8", "1")])], f"function_id long, bb_idx int, assigns {a}")
+    e = spark.createDataFrame([(1, 0, 1), (1, 1, 2)], "function_id long, src int, dst int")
+    found = dataflow.propagated_constants(b, e, stack=4096)
+    got = {r["bb_idx"]: {x["name"]: x["value"] for x in r["constants"]} for r in found.collect()}
+    assert got[0] == {"rsp": "4080", "rbp": "4096", "mem_0xff8": "7", "rax": "7", "rbx": "42", "rcx": "21", "rdx": "T"}
+    assert got[2]["rsp"] == "4088" and got[2]["r8"] == "9" == got[2]["mem_0xff8"] and got[2]["r9"] == str(2**64 - 4)
+    assert rows(dataflow.stack_frame(dataflow.stack_pointers(found, 4096)), "function_id", "local_stack_bytes", "num_locals") == [(1, 8, 1)]
+
+
+def test_taint_goes_through_what_callees_return(spark):
+    """f passes rdi to g in rsi; g returns it; f's return is then tainted, and so is that of h, which calls f."""
+    st = "array<struct<inputs:array<string>,outputs:array<string>>>"
+    b = spark.createDataFrame(
+        [(1, 0, [(["rdi"], ["rsi"]), (["rdi"], ["t1"])]), (1, 1, []), (2, 0, [(["rsi"], ["rax"])]), (3, 0, [(["x"], ["rdx"])]), (3, 1, [(["t1"], ["rcx"])])],
+        f"function_id long, bb_idx int, statements {st}",
+    )
+    e = spark.createDataFrame([(1, 0, 1), (3, 0, 1)], "function_id long, src int, dst int")
+    x = spark.createDataFrame([(1, 0, "g", "Ijk_Call"), (1, 1, None, "Ijk_Ret"), (2, 0, None, "Ijk_Ret"), (3, 0, "f", "Ijk_Call"), (3, 1, None, "Ijk_Ret")], "function_id long, bb_idx int, callee string, jumpkind string")
+    f = spark.createDataFrame([(1, "f", ["rdi"]), (2, "g", ["rsi", "rdx"]), (3, "h", ["rdi"])], "function_id long, name string, arguments array<string>")
+    got = rows(dataflow.interprocedural_flows(b, e, x, f), "function_id", "arg", "callee", "args")
+    assert got == [(1, "rdi", "__FUNC_RET__", ["rax"]), (1, "rdi", "g", ["rdi", "rsi"]), (2, "rsi", "__FUNC_RET__", ["rax"]), (3, "rdi", "__FUNC_RET__", ["rax"]), (3, "rdi", "f", ["rdi"])]
+    state = spark.createDataFrame([(1, 0, ["mem_0x20", "mem_0x8", "rdi"])], "function_id long, bb_idx int, tainted array<string>")
+    stack = spark.createDataFrame([(1, 0, 16)], "function_id long, bb_idx int, rsp long")
+    assert rows(dataflow.taint_flows(state, x, stack), "callee", "args") == [("g", ["mem_0x20", "rdi"])]
+
+
+def test_type_chains_of_any_length_and_cycles(spark):
+    from gleanbin.sources import dwarf
+
+    chain = [(1, k, None, "pointer_type", None, k + 1) for k in range(40)] + [(1, 40, None, "base_type", "int", None)]
+    loop = [(2, 0, None, "pointer_type", None, 1), (2, 1, None, "pointer_type", None, 0), (2, 5, None, "typedef", "t", 0)]
+    e = spark.createDataFrame(chain + loop, "binary_id long, offset long, parent long, tag string, name string, type long")
+    got = {(r["binary_id"], r["offset"]): r["type_name"] for r in dwarf.type_names(e).collect()}
+    assert got[1, 0] == "int" + "*" * 40 and got[1, 39] == "int*" and got[2, 5] == "t" and got[2, 0] == "void**" and len(got) == 44
+
+
+def test_alignment_against_brute_force(spark):
+    import itertools
+    import math
+    import random
+
+    def best(a, b, match=3, gap=2):
+        """The score of the best local alignment, by all pairs of substrings, each aligned globally."""
+
+        def whole(x, y):
+            t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+            for i, j in itertools.product(range(len(x) + 1), range(len(y) + 1)):
+                if i or j:
+                    t[i][j] = max([t[i - 1][j] - gap] * (i > 0) + [t[i][j - 1] - gap] * (j > 0) + [t[i - 1][j - 1] + (match if x[i - 1 : i] == y[j - 1 : j] else -match)] * (i > 0 and j > 0))
+            return t[-1][-1]
+
+        return max((whole(a[i:k], b[j:m]), 0) for i in range(len(a)) for k in range(i, len(a) + 1) for j in range(len(b)) for m in range(j, len(b) + 1))[0]
+
+    rng = random.Random(2)
+    for _ in range(25):
+        a, b = ("".join(rng.choice("ab_") for _ in range(rng.randrange(1, 6))) for _ in range(2))
+        span = names.smith_waterman(a, b)
+        score = best(a, b)
+        assert (span == 0) == (score == 0) and span * 3 >= score
+    d = spark.createDataFrame([("init_net", "net"), ("abc", "xyz"), (None, "a")], "a string, b string")
+    got = [r["distance"] for r in names.alignment_distance(d, "a", "b").collect()]
+    assert got == [1 / (1 + math.log1p(3)), 1.0, 1.0]
+
+
+def test_walks_follow_exits(spark):
+    e = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 0), (2, 5, 6)], "function_id long, start long, target long")
+    entry = spark.createDataFrame([(1, 0), (2, 5)], "function_id long, start long")
+    got = graph.block_walks(e, entry, walks=2).collect()
+    assert sorted((r["function_id"], r["walk"], r["trace"]) for r in got) == [(1, 0, [0, 1, 2]), (1, 1, [0, 1, 2]), (2, 0, [5, 6]), (2, 1, [5, 6])]
+
+
+def test_approximate_neighbours_are_mostly_the_exact_ones(spark, smallest):
+    e = spark.read.parquet(f"{smallest}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = e.where("id % 50 = 0")
+    exact = {(r["query"], r["id"]) for r in knn.nearest(q, e, 8, same=True).collect()}
+    near = {(r["query"], r["id"]) for r in knn.lsh_nearest(q, e, 8, width=4.0).collect()}
+    assert len(exact & near) >= 0.7 * len(exact)
+
+
+def test_node_embedding_equals_the_dense_factorisation(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 9, (20, 2))}
+    d = spark.createDataFrame([(1, f"n{a}", f"n{b}") for a, b in pairs], "binary_id long, src string, dst string")
+    got = {r["node"]: np.array(r["vector"]) for r in graph.node_embedding(d, size=6, rounds=2, seed=5).collect()}
+    nodes = sorted(got)
+    a = np.zeros((len(nodes), len(nodes)))
+    for x, y in pairs:
+        a[nodes.index(f"n{x}"), nodes.index(f"n{y}")] = a[nodes.index(f"n{y}"), nodes.index(f"n{x}")] = 1
+    deg = np.maximum(a.sum(axis=1), 1)
+    rest, rng, parts = a / np.sqrt(np.outer(deg, deg)), np.random.default_rng(5), []
+    for _ in range(2):
+        q, _ = np.linalg.qr(rest @ rng.normal(size=(len(nodes), 3)))
+        parts.append(rest.T @ q)
+        rest = rest - q @ parts[-1].T
+    assert np.allclose(np.array([got[n] for n in nodes]), np.hstack(parts), atol=1e-9)
