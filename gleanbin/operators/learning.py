@@ -232,9 +232,7 @@ def encoded(x: DataFrame, code: int = 32, sample: int = 20_000, **options) -> Da
     import numpy as np
     import pandas as pd
 
-    n = x.count()
-    chosen = x.where(F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, sample / max(n, 1)))))
-    train = np.array([r["vector"] for r in chosen.select("vector", F.xxhash64("row").alias("h")).orderBy("h").limit(2 * sample).collect()], float)
+    train = _sampled(x, sample)
     net = Autoencoder(train.shape[1] if len(train) else 1, code=code)
     if len(train):
         net.fit(train, **options)
@@ -246,6 +244,233 @@ def encoded(x: DataFrame, code: int = 32, sample: int = 20_000, **options) -> Da
     return x.select("row", "vector").mapInPandas(run, f"row {dict(x.dtypes)['row']}, embedding array<double>")
 
 
+class BranchAutoencoder:
+    """An encoder for each slice of the vector, joined into one code, and mirrored decoders; numpy, Adam, mini-batches.
+
+    A branch is dense, batch normalisation, tanh and dropout; the code is dense on all branches together, with an L1 penalty
+    on it and an L2 penalty on the weights. Dropout and batch statistics act in training only: encode() uses the running
+    means and variances, so a row's code doesn't depend on its batch.
+    """
+
+    def __init__(self, slices: list[int], hidden: int = 32, code: int = 32, dropout: float = 0.25, penalty: float = 0.01, seed: int = 1):
+        import numpy as np
+
+        self.slices, self.hidden, self.dropout, self.penalty, self.seed = list(slices), hidden, dropout, penalty, seed
+        rng, k = np.random.default_rng(seed), len(slices)
+        dense = lambda a, b: rng.normal(0, max(a, 1) ** -0.5, (a, b))
+        self.p = {"code.w": dense(k * hidden, code), "code.b": np.zeros(code), "open.w": dense(code, k * hidden), "open.b": np.zeros(k * hidden)}
+        for i, n in enumerate(slices):
+            self.p |= {f"in{i}.w": dense(n, hidden), f"in{i}.b": np.zeros(hidden), f"scale{i}": np.ones(hidden), f"shift{i}": np.zeros(hidden), f"out{i}.w": dense(hidden, n), f"out{i}.b": np.zeros(n)}
+        self.mean, self.var = np.zeros((k, hidden)), np.ones((k, hidden))
+
+    def _parts(self, x):
+        import numpy as np
+
+        return np.split(x, np.cumsum(self.slices)[:-1], axis=1)
+
+    def _forward(self, x, rng=None):
+        """Output, code and what backward needs; with rng as in training."""
+        import numpy as np
+
+        p, kept = self.p, []
+        for i, part in enumerate(self._parts(x)):
+            z = part @ p[f"in{i}.w"] + p[f"in{i}.b"]
+            m, v = (z.mean(axis=0), z.var(axis=0)) if rng is not None else (self.mean[i], self.var[i])
+            n = (z - m) / np.sqrt(v + 1e-5)
+            t = np.tanh(n * p[f"scale{i}"] + p[f"shift{i}"])
+            drop = (rng.random(t.shape) >= self.dropout) / (1 - self.dropout) if rng is not None else np.ones_like(t)
+            kept.append((part, m, v, n, t, drop))
+        joined = np.hstack([t * drop for *_, t, drop in kept])
+        code = np.tanh(joined @ p["code.w"] + p["code.b"])
+        back = np.tanh(code @ p["open.w"] + p["open.b"])
+        out = np.hstack([h @ p[f"out{i}.w"] + p[f"out{i}.b"] for i, h in enumerate(np.split(back, len(self.slices), axis=1))])
+        return out, code, (kept, joined, back)
+
+    def encode(self, x):
+        return self._forward(x)[1]
+
+    def loss(self, x) -> float:
+        """Mean squared error of the reconstruction."""
+        return float(((self._forward(x)[0] - x) ** 2).mean())
+
+    def gradients(self, x, rng=None):
+        """The loss with its penalties, the gradients, and each branch's batch mean and variance."""
+        import numpy as np
+
+        p, h = self.p, self.hidden
+        out, code, (kept, joined, back) = self._forward(x, rng)
+        weights = [k for k in p if k.endswith(".w")]
+        loss = ((out - x) ** 2).mean() + self.penalty * np.abs(code).mean() + self.penalty * sum((p[k] ** 2).mean() for k in weights)
+        g, d_back = {}, np.empty_like(back)
+        for i, (d, part) in enumerate(zip(self._parts(2 * (out - x) / x.size), np.split(back, len(self.slices), axis=1))):
+            g[f"out{i}.w"], g[f"out{i}.b"] = part.T @ d, d.sum(axis=0)
+            d_back[:, i * h : (i + 1) * h] = d @ p[f"out{i}.w"].T
+        d_back *= 1 - back**2
+        g["open.w"], g["open.b"] = code.T @ d_back, d_back.sum(axis=0)
+        d_code = (d_back @ p["open.w"].T + self.penalty * np.sign(code) / code.size) * (1 - code**2)
+        g["code.w"], g["code.b"] = joined.T @ d_code, d_code.sum(axis=0)
+        d_joined = d_code @ p["code.w"].T
+        for i, (part, m, v, n, t, drop) in enumerate(kept):
+            d = d_joined[:, i * h : (i + 1) * h] * drop * (1 - t**2)
+            g[f"scale{i}"], g[f"shift{i}"] = (d * n).sum(axis=0), d.sum(axis=0)
+            d = d * p[f"scale{i}"]
+            if rng is not None:  # through the batch's own mean and variance
+                d = d - d.mean(axis=0) - n * (d * n).mean(axis=0)
+            d /= np.sqrt(v + 1e-5)
+            g[f"in{i}.w"], g[f"in{i}.b"] = part.T @ d, d.sum(axis=0)
+        for k in weights:
+            g[k] = g[k] + 2 * self.penalty * p[k] / p[k].size
+        return float(loss), g, [(m, v) for _, m, v, *_ in kept]
+
+    def fit(self, x, validate, epochs: int = 10, batch: int = 64, rate: float = 1e-3, checkpoint=None) -> list[tuple[float, float]]:
+        """(training, validation) error after each epoch; the parameters of the best validation epoch are kept.
+
+        checkpoint(epoch, state) is called after each epoch with state().
+        """
+        import numpy as np
+
+        rng, t, losses, best = np.random.default_rng(self.seed), 0, [], None
+        m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
+        for epoch in range(epochs):
+            for idx in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
+                _, g, stats = self.gradients(x[idx], rng)
+                t += 1
+                for i, (mean, var) in enumerate(stats):
+                    self.mean[i] += 0.1 * (mean - self.mean[i])
+                    self.var[i] += 0.1 * (var - self.var[i])
+                for k, a in self.p.items():
+                    m[k] += 0.1 * (g[k] - m[k])
+                    v[k] += 0.001 * (g[k] ** 2 - v[k])
+                    a -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+            losses.append((self.loss(x), self.loss(validate)))
+            if best is None or losses[-1][1] < best[0]:
+                best = losses[-1][1], self.state()
+            if checkpoint:
+                checkpoint(epoch, self.state())
+        if best:
+            self.load(best[1])
+        return losses
+
+    def state(self) -> dict:
+        return {k: a.copy() for k, a in self.p.items()} | {"mean": self.mean.copy(), "var": self.var.copy()}
+
+    def load(self, state: dict) -> None:
+        self.p = {k: a.copy() for k, a in state.items() if k not in ("mean", "var")}
+        self.mean, self.var = state["mean"].copy(), state["var"].copy()
+
+
+def _sampled(x: DataFrame, sample: int):
+    """About sample vectors of row, vector, those of the smallest hashes, as an array; bounded by twice that."""
+    import numpy as np
+
+    n = x.count()
+    place = F.xxhash64("row")
+    chosen = x.where(F.pmod(place, F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, sample / max(n, 1)))))
+    return np.array([r["vector"] for r in chosen.select("vector", place.alias("h")).orderBy("h").limit(2 * sample).collect()], float)
+
+
+def branch_encoded(train: DataFrame, validate: DataFrame, x: DataFrame, slices: list[int], code: int = 32, sample: int = 20_000, checkpoints: str | None = None, **options) -> tuple[DataFrame, list[tuple[float, float]]]:
+    """row, embedding of x by a branch autoencoder fitted on samples of train and validate, and the errors by epoch.
+
+    checkpoints: a folder that gets the parameters of each epoch as a Parquet table (epoch, name, shape, numbers).
+    """
+    import numpy as np
+    import pandas as pd
+
+    net, spark = BranchAutoencoder(slices, code=code), x.sparkSession
+
+    def save(epoch: int, state: dict) -> None:
+        rows = [(epoch, k, list(a.shape), [float(v) for v in a.ravel()]) for k, a in state.items()]
+        spark.createDataFrame(rows, "epoch int, name string, shape array<int>, numbers array<double>").write.mode("append").parquet(checkpoints)
+
+    own, held = _sampled(train, sample), _sampled(validate, sample)
+    losses = net.fit(own, held if len(held) else own, checkpoint=save if checkpoints else None, **options) if len(own) else []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"row": pdf["row"], "embedding": list(net.encode(np.array(list(pdf["vector"]), float))) if len(pdf) else []})
+
+    return x.select("row", "vector").mapInPandas(run, f"row {dict(x.dtypes)['row']}, embedding array<double>"), losses
+
+
+def load_checkpoint(spark, folder: str, epoch: int, slices: list[int], code: int = 32) -> BranchAutoencoder:
+    """The autoencoder of a written epoch."""
+    import numpy as np
+
+    net = BranchAutoencoder(slices, code=code)
+    rows = spark.read.parquet(folder).where(F.col("epoch") == epoch).collect()
+    net.load({r["name"]: np.array(r["numbers"]).reshape(r["shape"]) for r in rows})
+    return net
+
+
+class NeighbourNet:
+    """Two layers, each on the mean of a node and its neighbours, and a softmax; trained on the nodes of a mask by class weights.
+
+    A layer's mean is a sum over edges, so nothing of nodes x nodes is made; one graph is held in memory, as a group.
+    """
+
+    def __init__(self, inputs: int, classes: int, hidden: int = 16, seed: int = 1):
+        import numpy as np
+
+        rng = np.random.default_rng(seed)
+        self.p = [rng.normal(0, inputs**-0.5, (inputs, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, classes)), np.zeros(classes)]
+
+    @staticmethod
+    def mean(x, src, dst):
+        """The mean over each node's in-neighbours and itself."""
+        import numpy as np
+
+        out, n = x.copy(), np.bincount(dst, minlength=len(x)) + 1.0
+        np.add.at(out, dst, x[src])
+        return out / n[:, None]
+
+    @staticmethod
+    def mean_back(d, src, dst):
+        import numpy as np
+
+        d = d / (np.bincount(dst, minlength=len(d)) + 1.0)[:, None]
+        out = d.copy()
+        np.add.at(out, src, d[dst])
+        return out
+
+    def forward(self, x, src, dst):
+        import numpy as np
+
+        w1, b1, w2, b2 = self.p
+        a = self.mean(x, src, dst)
+        h = np.maximum(a @ w1 + b1, 0)
+        c = self.mean(h, src, dst)
+        z = c @ w2 + b2
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        return a, h, c, z / z.sum(axis=1, keepdims=True)
+
+    def gradients(self, x, src, dst, y, mask, weights):
+        import numpy as np
+
+        a, h, c, p = self.forward(x, src, dst)
+        own = np.where(mask, weights[y], 0.0)
+        own = own / max(own.sum(), 1e-12)
+        loss = float(-(own * np.log(p[np.arange(len(y)), y] + 1e-12)).sum())
+        d = p.copy()
+        d[np.arange(len(y)), y] -= 1
+        d *= own[:, None]
+        dh = self.mean_back(d @ self.p[2].T, src, dst) * (h > 0)
+        return loss, [a.T @ dh, dh.sum(axis=0), c.T @ d, d.sum(axis=0)]
+
+    def fit(self, x, src, dst, y, mask, weights, epochs: int = 100, rate: float = 0.02) -> list[float]:
+        import numpy as np
+
+        m, v, losses = [np.zeros_like(a) for a in self.p], [np.zeros_like(a) for a in self.p], []
+        for t in range(1, epochs + 1):
+            loss, g = self.gradients(x, src, dst, y, mask, weights)
+            losses.append(loss)
+            for a, b, i, j in zip(self.p, g, m, v):
+                i += 0.1 * (b - i)
+                j += 0.001 * (b * b - j)
+                a -= rate * (i / (1 - 0.9**t)) / (np.sqrt(j / (1 - 0.999**t)) + 1e-8)
+        return losses
+
+
 def neighbour_layer(edges: DataFrame, values: DataFrame, weights: list[list[float]], bias: list[float]) -> DataFrame:
     """row, pos, value: the mean of in-neighbours' vectors (row, pos, value), then a linear layer."""
     mean = edges.select(F.col("src").alias("row"), F.col("dst").alias("to")).distinct().join(values, "row").groupBy("to", "pos").agg(F.avg("value").alias("value"))

@@ -571,6 +571,15 @@ def lsh_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.lsh_nearest(e.where("id % 100 = 0"), e, 8, width=2.0)
 
 
+@query()
+def branch_encoded_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of three slices of each vector, fitted on the training split; gradients and recovery are held in the tests."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").cast("array<double>").alias("vector"))
+    split = vocab.hash_split(e, "row")
+    part = lambda s: split.where(F.col("split") == s).select("row", "vector")
+    return learning.branch_encoded(part("train"), part("validate"), e, [24, 20, 20], code=8, epochs=3)[0]
+
+
 # --- language model ---------------------------------------------------------------------------------------------------------
 
 ESTIMATES = """p as (select p_partkey, list_concat(['<s>'], list_concat(string_split(p_name, ' '), ['</s>'])) as p from part),

@@ -370,3 +370,55 @@ def test_node_embedding_equals_the_dense_factorisation(spark):
         parts.append(rest.T @ q)
         rest = rest - q @ parts[-1].T
     assert np.allclose(np.array([got[n] for n in nodes]), np.hstack(parts), atol=1e-9)
+
+
+def numeric(f, a, at, eps=1e-6):
+    old = a[at]
+    a[at] = old + eps
+    up = f()
+    a[at] = old - eps
+    down = f()
+    a[at] = old
+    return (up - down) / (2 * eps)
+
+
+def test_branch_autoencoder_gradients_and_checkpoints(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(12, 9))
+    net = learning.BranchAutoencoder([4, 3, 2], hidden=5, code=3)
+    for train in (False, True):
+        seeded = lambda: net.gradients(x, np.random.default_rng(7) if train else None)
+        g = seeded()[1]
+        for k, a in net.p.items():
+            at = np.unravel_index(rng.integers(a.size), a.shape)
+            assert abs(numeric(lambda: seeded()[0], a, at) - g[k][at]) < 1e-5, (train, k)
+    z = rng.normal(size=(400, 3)) @ rng.normal(size=(3, 9))
+    d = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(z)], "row long, vector array<double>")
+    folder = str(tmp_path / "epochs")
+    out, losses = learning.branch_encoded(d.where("row < 300"), d.where("row >= 300"), d, [4, 3, 2], code=4, epochs=6, rate=5e-3, checkpoints=folder)
+    assert losses[-1][1] < losses[0][1] and out.count() == 400
+    best = min(range(6), key=lambda k: losses[k][1])
+    again = learning.load_checkpoint(spark, folder, best, [4, 3, 2], code=4)
+    got = {r["row"]: r["embedding"] for r in out.collect()}
+    assert np.allclose(again.encode(z[:5]), [got[k] for k in range(5)])
+
+
+def test_neighbour_net_learns_from_neighbours():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    y = rng.integers(2, size=60)
+    src = np.array([rng.choice(np.flatnonzero(y == y[k])) for k in range(60) for _ in range(4)])
+    dst = np.repeat(np.arange(60), 4)
+    x = np.where(y == 1, 1.0, -1.0)[:, None] * 0.4 + rng.normal(size=(60, 3))
+    mask, weights = np.arange(60) < 40, np.array([1.0, 2.0])
+    net = learning.NeighbourNet(3, 2)
+    _, g = net.gradients(x, src, dst, y, mask, weights)
+    for a, b in zip(net.p, g):
+        at = np.unravel_index(0, a.shape)
+        assert abs(numeric(lambda: net.gradients(x, src, dst, y, mask, weights)[0], a, at) - b[at]) < 1e-5
+    losses = net.fit(x, src, dst, y, mask, weights)
+    assert losses[-1] < 0.5 * losses[0]
+    assert (net.forward(x, src, dst)[3].argmax(axis=1) == y)[40:].mean() > 0.8
