@@ -192,26 +192,28 @@ def fitted(documents: DataFrame) -> Network | None:
 
 
 def _predicted(documents: DataFrame, network: Network | None, keep: list[str]) -> DataFrame:
-    """keep as _k0, _k1, ..., then _lang and _score, so that no name of the input can clash."""
-    rows = documents.select(*[F.col(f"`{c}`").alias(f"_k{k}") for k, c in enumerate(keep)], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"), F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
+    """keep as _k0, _k1, ..., then _lang and _score, so that no name of the input can clash. The text is sent once."""
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter")
+    own = [F.col(f"`{c}`").alias(f"_k{k}") for k, c in enumerate(keep)]
+    rows = documents.select(*own, letter, *([] if "text" in keep else [F.col("text").alias("_text")]))
     names = [f"_k{k}" for k in range(len(keep))]
+    at = keep.index("text") if "text" in keep else len(keep) + 1
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]], "_lang string", "_score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, letter = batch.column(len(keep) + 1), batch.column(len(keep)).to_numpy(zero_copy_only=False)
+            text, letter = batch.column(at), batch.column(len(keep)).to_numpy(zero_copy_only=False)
             n = len(letter)
             pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
-            if network is not None and n:
-                wide = pa.types.is_large_binary(text.type)
+            if network is not None and n and letter.any():
+                wide = pa.types.is_large_binary(text.type) or pa.types.is_large_string(text.type)
                 _, ends, data = text.buffers()
                 ends = np.frombuffer(ends, np.int64 if wide else np.int32)[text.offset : text.offset + n + 1].astype(np.int64)
                 lengths = np.where(letter, np.diff(ends), 0)
-                if lengths.any():
-                    sums = network.pooled(np.frombuffer(data, np.uint8), ends[:-1], lengths)
-                    mean = sums / np.maximum(lengths, 1)[:, None]
-                    pred = np.where(lengths > 0, np.array(network.langs, object)[mean.argmax(axis=1)], UNKNOWN)
-                    score = np.where(lengths > 0, np.clip(mean.max(axis=1), 0, 1), 0.0)
+                sums = network.pooled(np.frombuffer(data, np.uint8), ends[:-1], lengths)
+                mean = sums / np.maximum(lengths, 1)[:, None]
+                pred = np.where(lengths > 0, np.array(network.langs, object)[mean.argmax(axis=1)], UNKNOWN)
+                score = np.where(lengths > 0, np.clip(mean.max(axis=1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "_lang", "_score"])
         give_back()
 
