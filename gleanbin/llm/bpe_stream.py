@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanbin.llm.common import give_back
+
 #: Fixed value: the pre-token pattern of the public byte-level tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a slice, in which texts are fed to the encoder.
@@ -308,6 +310,13 @@ class Codec:
             elif part:
                 yield from self._plain(part)
 
+    def forget(self) -> None:
+        """Gives up what is remembered, as workers stay for later stages."""
+        for cache_ in (self.words, self.parts):
+            cache_.clear()
+            cache_.older = {}
+        give_back()
+
     def decode(self, pieces) -> Iterator[str]:
         machine, get = ByteTextMachine(), self.table.tokens.__getitem__
         for ids in pieces:
@@ -345,6 +354,7 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             rows = [c.digest((x.as_py() or b"").decode("utf-8", "replace")) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -357,5 +367,6 @@ def tokenized(documents: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             ids = [list(chain.from_iterable(c.encode((x.as_py() or b"").decode("utf-8", "replace")))) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "token_ids"])
+        c.forget()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, token_ids array<int>")

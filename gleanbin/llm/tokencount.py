@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanbin.llm.bpe_stream import PATTERN, simple_parts
+from gleanbin.llm.common import give_back
 
 #: Nodes and stored counts at most; scores of a pre-token's prefixes that are held beyond those still needed.
 NODES, STORED, HELD = 400_000, 600_000, 4096
@@ -149,5 +150,8 @@ def token_counts(documents: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             rows = [c.counts((x.as_py() or b"").decode("utf-8", "replace")) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
+        c.trie.clear()  # workers stay for later stages
+        c.stored.clear()
+        give_back()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
