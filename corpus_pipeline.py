@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanbin.llm import bagminhash, bpe_stream, langid, mixing, quality
-from gleanbin.llm.common import table, written
+from gleanbin.llm.common import discard, table, written
 from gleanbin.llm.queries import tokenizer_path
 
 
@@ -41,7 +41,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:  # what the next stage was made of
+            discard(spark, before)
+        before = path
     return docs
