@@ -214,32 +214,35 @@ def node_embedding(edges: DataFrame, size: int = 16, rounds: int = 3, seed: int
 def block_walks(exits: DataFrame, entries: DataFrame, walks: int = 3, seed: int = 3) -> DataFrame:
     """function_id, walk, trace: seeded walks over blocks from the entry, ending at a block seen before or without exit.
 
-    exits: function_id, start, target; entries: function_id, start.
+    exits: function_id, start, target; entries: function_id, start. A function is one row with its exits in an array;
+    batches hold many.
     """
     import random
 
     import pandas as pd
 
-    def walk(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        f = pdf["function_id"].iloc[0]
-        entry = int(pdf.loc[pdf["target"].isna(), "start"].iloc[0]) if pdf["target"].isna().any() else int(pdf["start"].min())
-        out: dict[int, list[int]] = {}
-        for s, t in sorted(zip(pdf["start"], pdf["target"].fillna(-1))):
-            if t >= 0:
-                out.setdefault(int(s), []).append(int(t))
-        rows = []
-        for k in range(walks):
-            rng, at, trace = random.Random(f"{seed}:{f}:{k}"), entry, []
-            while at not in trace:
-                trace.append(at)
-                if at not in out:
-                    break
-                at = rng.choice(out[at])
-            rows.append((f, k, trace))
-        return pd.DataFrame(rows, columns=["function_id", "walk", "trace"])
-
-    both = exits.select("function_id", "start", F.col("target").cast("double").alias("target")).unionByName(entries.select("function_id", "start", F.lit(None).cast("double").alias("target")))
-    return both.groupBy("function_id").applyInPandas(walk, "function_id long, walk int, trace array<long>")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for f, entry, exits_ in zip(pdf["function_id"], pdf["entry"], pdf["exits"]):
+                out: dict[int, list[int]] = {}
+                for x in exits_ if exits_ is not None else ():
+                    out.setdefault(x["start"], []).append(x["target"])
+                for k in range(walks):
+                    rng, at, trace, seen = random.Random(f"{seed}:{f}:{k}"), entry, [], set()
+                    while at not in seen:
+                        trace.append(at)
+                        seen.add(at)
+                        if at not in out:
+                            break
+                        at = rng.choice(out[at])
+                    rows.append((f, k, trace))
+            yield pd.DataFrame(rows, columns=["function_id", "walk", "trace"])
+
+    lists = exits.where("target is not null").groupBy("function_id").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("target").cast("long").alias("target")))).alias("exits"))
+    first = entries.groupBy(F.col("function_id").cast("long").alias("function_id")).agg(F.min("start").cast("long").alias("entry"))
+    both = first.join(lists, "function_id", "left")
+    return both.select("function_id", "entry", "exits").mapInPandas(walk, "function_id long, walk int, trace array<long>")
 
 
 def taint_closure(flows: DataFrame) -> DataFrame:
