@@ -57,6 +57,33 @@ def block_exits(blocks: DataFrame, names: DataFrame, never: list[str] = NON_RETU
 # --- blocks -------------------------------------------------------------------------------------------------------------
 
 
+def statement_flows(ir: DataFrame) -> DataFrame:
+    """function_id, bb_idx, stmt_idx, inputs, outputs of statements of an intermediate representation, in their order.
+
+    ir: function_id, bb_idx, stmt_idx, kind, target, sources array<string>, guard, address (a constant address, as
+    decimal). Put writes a register, WrTmp a temporary, from their sources; a Load reads the cell at its address too; Store
+    writes that cell; guarded statements (LoadG, StoreG) read their guard and, as they may not happen, also keep what stood
+    in their target; Dirty and CCall write their target from all arguments; Exit reads its guard; IMark, AbiHint and NoOp do
+    nothing and drop out.
+    """
+    none = F.array().cast("array<string>")
+    one = lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(none)
+    cell = one(F.concat(F.lit("mem_0x"), F.lower(F.conv(F.col("address").cast("string"), 10, 16))))
+    sources, guard, target = F.coalesce("sources", none), one(F.col("guard")), one(F.col("target"))
+    kind = F.col("kind")
+    inputs = (
+        F.when(kind.isin("Put", "WrTmp", "Dirty", "CCall"), sources)
+        .when(kind == "Load", F.concat(sources, cell))
+        .when(kind == "Store", sources)
+        .when(kind == "LoadG", F.concat(sources, cell, guard, target))
+        .when(kind == "StoreG", F.concat(sources, guard, cell))
+        .otherwise(guard)
+    )
+    outputs = F.when(kind.isin("Store", "StoreG"), cell).when(kind == "Exit", none).otherwise(target)
+    kept = ir.where(~kind.isin("IMark", "AbiHint", "NoOp"))
+    return kept.select("function_id", "bb_idx", "stmt_idx", F.array_distinct(inputs).alias("inputs"), outputs.alias("outputs"))
+
+
 def block_liveness(statements: DataFrame) -> DataFrame:
     """function_id, bb_idx, gen, kill of statements (inputs, outputs in order stmt_idx): gen is read before it is written."""
     lists = statements.groupBy("function_id", "bb_idx").agg(F.sort_array(F.collect_list(F.struct("stmt_idx", "inputs", "outputs"))).alias("s"))

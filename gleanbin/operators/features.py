@@ -191,6 +191,12 @@ def block_counts(statements: DataFrame) -> DataFrame:
     )
 
 
+def data_references(statements: DataFrame) -> DataFrame:
+    """function_id, address: constant addresses that a function's loads read. statements as of block_counts()."""
+    loads = statements.where((F.col("kind") == "Load") & F.col("constant").isNotNull())
+    return loads.select("function_id", F.col("constant").alias("address")).distinct()
+
+
 def function_counts(blocks: DataFrame) -> DataFrame:
     """The blocks' counts merged: lists joined, sets united, numbers summed, operations counted."""
     m = blocks.groupBy("function_id").agg(F.sum("ninstructions").alias("ninstructions"), F.sum("ntemp_vars").alias("ntemp_vars"), F.flatten(F.collect_list("constants")).alias("c"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("callees")))).alias("callees"))

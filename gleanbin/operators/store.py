@@ -88,6 +88,16 @@ def functions_at(calls: DataFrame, functions: DataFrame, width: int) -> DataFram
     return lookup(calls.withColumnRenamed("vaddr", "at"), held, ["binary_id"], width)
 
 
+def symbols_named(functions: DataFrame, names: list[str]) -> DataFrame:
+    """Functions of these names, in any binary."""
+    return functions.where(F.col("name").isin(names))
+
+
+def binaries_like(binaries: DataFrame, pattern: str) -> DataFrame:
+    """Binaries whose path matches the regular expression."""
+    return binaries.where(F.col("path").rlike(pattern))
+
+
 def known_functions(functions: DataFrame) -> DataFrame:
     """name: all callees and callers."""
     return elements(functions, "callees", "callers")

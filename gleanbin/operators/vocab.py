@@ -110,6 +110,11 @@ def fit_propensity(counts: list[int], n: int, samples: int = 26) -> tuple[float,
     return best[1], best[2], best[0]
 
 
+def frequency_distribution(items: DataFrame, column: str) -> DataFrame:
+    """n, values: how many values occur n times; what a plot of the distribution shows."""
+    return items.groupBy(column).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("values"))
+
+
 def in_all(*frames: DataFrame, key: str) -> DataFrame:
     """Rows of the first whose key is in every other."""
     first, *rest = frames

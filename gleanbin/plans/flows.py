@@ -100,3 +100,13 @@ def closures(functions: DataFrame) -> DataFrame:
 def deduced(model_scores: DataFrame, threshold: float = 0.23) -> DataFrame:
     """row, name of a pretrained model's scores."""
     return learning.predicted_names(model_scores, threshold)
+
+
+def name_export(functions: DataFrame, binaries: DataFrame, split: DataFrame, labels, canonical) -> DataFrame:
+    """split, path, b_id, f_id, name, real_name, label_set, canonical_name of every function of a split binary.
+
+    labels(Column) -> array of labels, canonical(Column) -> name; split: id (of a binary), split.
+    """
+    b = binaries.join(split.select("id", "split"), "id").select(F.col("id").alias("b_id"), "path", "split")
+    f = functions.select(F.col("binary_id").alias("b_id"), F.col("id").alias("f_id"), "name", "real_name")
+    return f.join(b, "b_id").select("split", "path", "b_id", "f_id", "name", "real_name", labels(F.col("real_name")).alias("label_set"), canonical(F.col("real_name")).alias("canonical_name"))

@@ -271,6 +271,28 @@ def function_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(f, "constants", "callees").select("function_id", "ninstructions", "ntemp_vars", "constants", "callees", ops.alias("operations"))
 
 
+@query("select distinct l_orderkey as function_id, l_partkey::decimal(20,0) as address from lineitem where l_linenumber % 3 = 1")
+def data_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("l_linenumber") % 3 == 1, "Load").otherwise("Put")
+    l = lineitem(spark, sf_dir)
+    return features.data_references(l.select(F.col("l_orderkey").alias("function_id"), kind.alias("kind"), F.col("l_partkey").cast("decimal(20,0)").alias("constant")))
+
+
+@query("select n, count(*) as values from (select count(*) as n from events group by props) group by n")
+def frequency_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.frequency_distribution(table(spark, sf_dir, "events"), "props")
+
+
+@query(f"""with {FUNCTIONS}, {BINARIES}, s as (select id, ('0x' || substr(md5(id::varchar), 1, 4))::int % 100 as p from b)
+  select case when p < 80 then 'train' when p < 90 then 'validate' else 'test' end as split, path, b.id as b_id, f.id as f_id, name, 'sub.' || name as real_name, array_to_string(list_sort(list_distinct(string_split('sub ' || name, ' '))), ',') as label_set, replace('sub_' || name, ' ', '_') as canonical_name
+  from f join b on b.id = binary_id join s on s.id = b.id""")
+def name_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = binaries(spark, sf_dir)
+    f = functions(spark, sf_dir).withColumn("real_name", F.concat(F.lit("sub."), "name"))
+    labels = lambda c: F.array_sort(vocab.alpha_numeric(c))
+    return _joined(flows.name_export(f, b, vocab.hash_split(b.select("id"), "id"), labels, lambda c: F.regexp_replace(c, "[^a-z0-9]+", "_")), "label_set")
+
+
 # --- graphs ---------------------------------------------------------------------------------------------------------------
 
 
@@ -428,6 +450,29 @@ def block_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(dataflow.block_taint(s, start), "tainted").select("function_id", "tainted")
 
 
+@query("""with recursive x as (select l_orderkey as f, l_linenumber as i, l_linenumber % 5 as k, 'r' || (l_partkey % 4) as a, 'r' || (l_suppkey % 4) as b, 'mem_0x' || lower(to_hex(l_suppkey % 3 + 16)) as m, 'g' || (l_partkey % 2) as g from lineitem),
+  y as (select f, i, case k when 0 then [a] when 1 then [a, m] when 2 then [a] when 3 then [a, m, g, b] else [g] end as inp, case k when 2 then [m] when 4 then [] else [b] end as outp from x), n as (select f, max(i) as n from y group by f),
+  r as (select f, 0 as i, ['r0', 'mem_0x10'] as t from n union all select y.f, y.i, case when len(list_intersect(t, inp)) > 0 then list_distinct(list_concat(t, outp)) else list_filter(t, lambda v: not list_contains(outp, v)) end from r join y on y.f = r.f and y.i = r.i + 1)
+  select r.f as function_id, array_to_string(list_sort(t), ',') as tainted from r join n on n.f = r.f and n.n = r.i""")
+def ir_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as Put, Load, Store, LoadG and Exit statements of one block; r0 and one cell are tainted."""
+    reg = lambda c, n, letter="r": F.concat(F.lit(letter), (F.col(c) % n).cast("string"))
+    k = F.col("l_linenumber") % 5
+    kind = F.element_at(F.array(*map(F.lit, ["Put", "Load", "Store", "LoadG", "Exit"])), (k + 1).cast("int"))
+    ir = lineitem(spark, sf_dir).select(
+        F.col("l_orderkey").alias("function_id"),
+        F.lit(0).alias("bb_idx"),
+        F.col("l_linenumber").alias("stmt_idx"),
+        kind.alias("kind"),
+        reg("l_suppkey", 4).alias("target"),
+        F.array(reg("l_partkey", 4)).alias("sources"),
+        reg("l_partkey", 2, "g").alias("guard"),
+        (F.col("l_suppkey") % 3 + 16).cast("decimal(20,0)").alias("address"),
+    )
+    start = ir.select("function_id", "bb_idx").distinct().withColumn("tainted", F.array(F.lit("r0"), F.lit("mem_0x10")))
+    return _joined(dataflow.block_taint(dataflow.statement_flows(ir), start), "tainted").select("function_id", "tainted")
+
+
 @query("""select s_suppkey, ['rax', 'rax', 'r9', 'zmm3', 'rdi', 'rip'][s_suppkey % 6 + 1] as base, [32, 8, 16, 128, 8, null][s_suppkey % 6 + 1] as bits from supplier""")
 def register_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, ["eax", "ah", "r9w", "xmm3", "dil", "rip"])), (F.col("s_suppkey") % 6 + 1).cast("int"))
@@ -767,6 +812,34 @@ def dot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("graph", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
 
 
+@query("select vec_id as id, label from embeddings where vec_id % 2 = 0 order by vec_id limit 50")
+def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reader's own limit of rows."""
+    e = table(spark, sf_dir, "embeddings")
+    v = e.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).alias("vector"))
+    return store.feature_vectors(e.select(F.col("vec_id").alias("id")), v, 50).join(e.select(F.col("vec_id").alias("id"), "label"), "id").select("id", "label")
+
+
+@query(f"with {FUNCTIONS} select id, name from f where name in ('cold rod', 'red bolt') union all select id, name from (select f.id, name, '/bin/' || binary_id as path from f) where regexp_matches(path, '/bin/1[0-9]$')")
+def symbols_by_name_and_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = functions(spark, sf_dir)
+    chosen = store.binaries_like(binaries(spark, sf_dir), "/bin/1[0-9]$").select("id")
+    return store.symbols_named(f, ["cold rod", "red bolt"]).select("id", "name").unionByName(store.among(f, "binary_id", chosen).select("id", "name"))
+
+
+@query("""with n as (select o_orderkey as k, '/new/' || o_orderkey as path from orders where o_orderkey % 3 = 0), c as (select l_orderkey, count(*) as c from lineitem group by 1)
+  select 'binaries' as kind, (select count(*) from n) + (select count(*) from orders) as n union all select 'functions', (select count(*) from lineitem) + (select sum(c) from c join n on k = l_orderkey)""")
+def analysed_binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third order comes as an analysed binary of a new path with its lines nested; how many rows the store then has."""
+    stored = binaries(spark, sf_dir).withColumn("id", F.col("id").cast("long"))
+    f = lines(spark, sf_dir).select("id", "binary_id", "size")
+    nested = f.groupBy(F.col("binary_id").alias("k")).agg(F.sort_array(F.collect_list(F.struct("size"))).alias("functions"))
+    new = stored.where("id % 3 = 0").join(nested.withColumnRenamed("k", "id"), "id", "left").select(F.concat(F.lit("/new/"), F.col("id").cast("string")).alias("path"), "bin_type", F.coalesce("functions", F.array().cast("array<struct<size:double>>")).alias("functions"))
+    b, g = io.add_analysed(stored, f, new)
+    b, g = io.add_analysed(b, g, new)  # again: replaced, not doubled
+    return b.agg(F.count("*").alias("n")).select(F.lit("binaries").alias("kind"), "n").unionByName(g.agg(F.count("*").alias("n")).select(F.lit("functions").alias("kind"), "n"))
+
+
 # --- texts and chunks -----------------------------------------------------------------------------------------------------
 
 

@@ -47,8 +47,36 @@ def new_rows(incoming: DataFrame, stored: DataFrame, key: list[str]) -> DataFram
     return incoming.join(stored.select(*key).distinct(), key, "left_anti")
 
 
-def analysed(files: DataFrame, analyse, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of analyse(path, content) -> dicts, and path, error of the files on which it fails."""
+#: The machine number of x86_64 in an ELF header (little endian), and seconds for one binary at most.
+X86_64, MOST_SECONDS = "3E00", 90 * 60
+
+
+def is_x86_64(content: Column) -> Column:
+    return is_elf(content) & (F.hex(F.substring(content, 19, 2)) == X86_64)
+
+
+def within(seconds: float, call, *args):
+    """call(*args), or TimeoutError once it has taken so long. In a worker's main thread; elsewhere without a limit."""
+    import signal
+    import threading
+
+    if threading.current_thread() is not threading.main_thread():
+        return call(*args)
+
+    def stop(number, frame):
+        raise TimeoutError(f"more than {seconds:g} seconds")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return call(*args)
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def analysed(files: DataFrame, analyse, schema: str, seconds: float = MOST_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """Rows of analyse(path, content) -> dicts, and path, error of the files on which it fails or takes too long."""
     import pandas as pd
 
     full = f"{schema}, error_path string, error string"
@@ -59,7 +87,7 @@ def analysed(files: DataFrame, analyse, schema: str) -> tuple[DataFrame, DataFra
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    rows += [{**r, "error_path": None, "error": None} for r in analyse(path, bytes(content))]
+                    rows += [{**r, "error_path": None, "error": None} for r in within(seconds, analyse, path, bytes(content))]
                 except Exception as e:  # noqa: BLE001  one bad file is a row of its own, not a failed job
                     rows.append({n: None for n in names} | {"error_path": path, "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame(rows, columns=[*names, "error_path", "error"])
@@ -79,6 +107,29 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: list[str], version: str
     return both.withColumn("_n", F.row_number().over(latest)).where("_n = 1").select(*names)
 
 
+def add_analysed(binaries: DataFrame, functions: DataFrame, analysed_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The store's binaries and functions with those of analysed binaries, each a row with its functions nested.
+
+    analysed_: the columns of binaries without id, and functions array<struct> of the columns of functions without id and
+    binary_id. Ids are hashes of the path, and of path and place, so they are the same in every run; a binary that is
+    there already is replaced with all its functions.
+    """
+    new = with_id(analysed_)
+    rows = new.select(F.col("id").alias("binary_id"), "path", F.posexplode("functions").alias("_place", "_f"))
+    own = rows.select(F.xxhash64("path", "_place").alias("id"), "binary_id", "_f.*")
+    kept = functions.join(new.select(F.col("id").alias("binary_id")), "binary_id", "left_anti")
+    return upsert(binaries, new.drop("functions"), ["id"]), kept.select(*functions.columns).unionByName(own.select(*functions.columns))
+
+
+def add_library(libraries: DataFrame, prototypes: DataFrame, path: str, functions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The store's libraries and prototypes with those of one library's functions; prototypes there already stay."""
+    name = path.rsplit("/", 1)[-1]
+    library = with_id(functions.sparkSession.createDataFrame([(path, name)], "path string, name string")).select(*libraries.columns)
+    of = functions.crossJoin(F.broadcast(library.select(F.col("id").alias("library"))))  # one row
+    new = of.withColumn("id", F.xxhash64("library", "name")).select(*prototypes.columns)
+    return upsert(libraries, library, ["id"]), prototypes.unionByName(new_rows(new, prototypes, ["library", "name"]))
+
+
 def upsert_columns(stored: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
     """Sets the columns that incoming has, of stored or new keys; the others stay, or are null."""
     own = [c for c in incoming.columns if c not in key]

@@ -422,3 +422,27 @@ def test_neighbour_net_learns_from_neighbours():
     losses = net.fit(x, src, dst, y, mask, weights)
     assert losses[-1] < 0.5 * losses[0]
     assert (net.forward(x, src, dst)[3].argmax(axis=1) == y)[40:].mean() > 0.8
+
+
+def test_analysis_ends_after_its_time_and_knows_the_machine(spark):
+    import time
+
+    head = b"\x7fELF" + bytes(14)
+    d = spark.createDataFrame([("a", bytearray(head + b"\x3e\x00")), ("b", bytearray(head + b"\x28\x00")), ("slow", bytearray(head + b"\x3e\x00"))], "path string, content binary")
+    assert rows(d.where(io.is_x86_64(F.col("content"))), "path") == [("a",), ("slow",)]
+
+    def analyse(path, content):
+        time.sleep(3 if path == "slow" else 0)
+        return [{"name": path}]
+
+    good, bad = io.analysed(d, analyse, "name string", seconds=1)
+    assert rows(good, "name") == [("a",), ("b",)] and [p for p, _ in rows(bad, "path", "error")] == ["slow"]
+
+
+def test_libraries_are_added_once(spark):
+    libraries = spark.createDataFrame([], "id long, path string, name string")
+    prototypes = spark.createDataFrame([], "id long, library long, name string, num_args int")
+    f = spark.createDataFrame([("puts", 1), ("open", 2)], "name string, num_args int")
+    one = io.add_library(libraries, prototypes, "/lib/libc.so", f)
+    two = io.add_library(*one, "/lib/libc.so", f)
+    assert one[0].count() == two[0].count() == 1 and rows(two[1], "name", "num_args") == [("open", 2), ("puts", 1)]
