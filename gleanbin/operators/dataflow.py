@@ -105,6 +105,22 @@ def block_taint(statements: DataFrame, tainted: DataFrame) -> DataFrame:
 # --- functions ----------------------------------------------------------------------------------------------------------
 
 
+def _values(array: pa.Array) -> list:
+    """An Arrow array as Python values: lists and structs are cut from flat columns, not made element by element."""
+    kind = array.type
+    if pa.types.is_list(kind):
+        inner, ends = _values(array.flatten()), array.offsets.to_numpy()
+        ends = (ends - ends[0]).tolist()
+        lists = [inner[a:b] for a, b in zip(ends, ends[1:])]
+        return lists if not array.null_count else [x if ok else None for x, ok in zip(lists, array.is_valid().to_pylist())]
+    if pa.types.is_struct(kind) and not array.null_count:
+        names = [f.name for f in kind]
+        return [dict(zip(names, row)) for row in zip(*map(_values, array.flatten()))]
+    if pa.types.is_string(kind) or pa.types.is_integer(kind) and not array.null_count:
+        return array.to_numpy(zero_copy_only=False).tolist()
+    return array.to_pylist()
+
+
 def _per_function(blocks: DataFrame, edges: DataFrame, solve, result: str) -> DataFrame:
     """solve(blocks by bb_idx, successors, predecessors) -> value by bb_idx, for each function; result: its column's type.
 
@@ -118,16 +134,16 @@ def _per_function(blocks: DataFrame, edges: DataFrame, solve, result: str) -> Da
         kind = None
         for batch in batches:
             ids, idx, values = [], [], []
-            for row in batch.to_pylist():
-                body = {x["bb_idx"]: x for x in row["blocks"]}
+            for function, blocks_, edges_ in zip(*map(_values, batch.columns)):
+                body = {x["bb_idx"]: x for x in blocks_}
                 after: dict[int, set[int]] = {i: set() for i in body}
                 before: dict[int, set[int]] = {i: set() for i in body}
-                for x in row["edges"] or []:
+                for x in edges_ or []:
                     if x["src"] in body and x["dst"] in body:
                         after[x["src"]].add(x["dst"])
                         before[x["dst"]].add(x["src"])
                 found = solve(body, after, before)
-                ids += [row["function_id"]] * len(body)
+                ids += [function] * len(body)
                 idx += list(body)
                 values += [found[i] for i in body]
             kind = kind or ARROW[result]
