@@ -147,6 +147,27 @@ def entry_names(entries: DataFrame, symbols: DataFrame) -> DataFrame:
     return entries.select("binary_id", F.col("value").alias("vaddr"), F.element_at(wanted, F.col("register")).alias("name")).where("name is not null").join(symbols.select("binary_id", "vaddr").distinct(), ["binary_id", "vaddr"], "left_semi")
 
 
+def constructor_symbols(headers: DataFrame, strip) -> DataFrame:
+    """binary_id, name, real_name, vaddr, size of the constructors and destructors that ELF headers list.
+
+    headers: binary_id, constructors and destructors array<struct<name, address, size>>; strip(Column) -> bare name. Both
+    are loaded when a program runs, so no call leads to them.
+    """
+    empty = lambda c: F.coalesce(c, F.slice(F.array(F.struct(F.lit("").alias("name"), F.lit(0).cast("long").alias("address"), F.lit(0).cast("long").alias("size"))), 1, 0))
+    f = headers.select("binary_id", F.explode(F.concat(empty("constructors"), empty("destructors"))).alias("f"))
+    return f.select("binary_id", strip(F.col("f.name")).alias("name"), F.col("f.name").alias("real_name"), F.col("f.address").alias("vaddr"), "f.size").distinct()
+
+
+def init_names(entries: DataFrame, exits: DataFrame) -> DataFrame:
+    """binary_id, vaddr, name init: what the first block of csu_init calls.
+
+    entries: as of entry_names(); exits: binary_id, function (its address), bb_idx, target, jumpkind.
+    """
+    own = entries.where("name = 'csu_init' and vaddr <> 0").select("binary_id", F.col("vaddr").alias("function"))
+    calls = exits.where("bb_idx = 0 and jumpkind = 'Ijk_Call' and target is not null").join(own, ["binary_id", "function"])
+    return calls.groupBy("binary_id", "function").agg(F.min("target").alias("vaddr")).select("binary_id", "vaddr", F.lit("init").alias("name"))
+
+
 def memory_bands(cells: DataFrame) -> DataFrame:
     """function_id, stack_vars, stack_args, heap_vars of m_0x.. cells against the stack [end, start], modulo 2^63."""
     at = F.conv(F.regexp_extract("cell", "^m_0x([0-9a-fA-F]+)$", 1), 16, 10).cast("decimal(20,0)") % F.lit(str(1 << 63)).cast("decimal(20,0)")

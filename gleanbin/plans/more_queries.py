@@ -378,6 +378,27 @@ def entry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.entry_names(entries, symbols)
 
 
+@query("""select s_nationkey as binary_id, 'frame_dummy' as name, 'frame_dummy.part.' || s_suppkey as real_name, s_suppkey * 16 as vaddr, 8::bigint as size from supplier
+  union all select s_nationkey, 'do_global_dtors_aux', '__do_global_dtors_aux', s_suppkey * 16 + 8, 8 from supplier where s_suppkey % 2 = 0""")
+def constructor_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = lambda name, at: F.array(F.struct(name.alias("name"), at.alias("address"), F.lit(8).cast("long").alias("size")))
+    at = F.col("s_suppkey") * 16
+    ctors = f(F.concat(F.lit("frame_dummy.part."), F.col("s_suppkey").cast("string")), at)
+    dtors = F.when(F.col("s_suppkey") % 2 == 0, f(F.lit("__do_global_dtors_aux"), at + 8))
+    h = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("binary_id"), ctors.alias("constructors"), dtors.alias("destructors"))
+    return intervals.constructor_symbols(h, names.strip_decorations)
+
+
+@query("select l_orderkey as binary_id, min(l_suppkey) as vaddr, 'init' as name from lineitem where l_linenumber = 1 and l_returnflag = 'R' and l_orderkey % 2 = 0 group by l_orderkey")
+def init_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of even number have a csu_init, whose blocks are their lines."""
+    l = lineitem(spark, sf_dir)
+    kind = F.when(F.col("l_returnflag") == "R", "Ijk_Call").otherwise("Ijk_Boring")
+    exits = l.select(F.col("l_orderkey").alias("binary_id"), F.lit(64).alias("function"), (F.col("l_linenumber") - 1).alias("bb_idx"), F.col("l_suppkey").alias("target"), kind.alias("jumpkind"))
+    entries = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("binary_id"), F.lit(64).alias("vaddr"), F.when(F.col("o_orderkey") % 2 == 0, "csu_init").otherwise("main").alias("name"))
+    return intervals.init_names(entries, exits)
+
+
 def _hexed(c: Column) -> Column:
     return F.lower(F.hex(c))
 
