@@ -191,6 +191,9 @@ class Forest:
                     every = np.concatenate(scores)
                     if len(every) > K:
                         best = max(best, np.partition(every, len(every) - K - 1)[-K - 1])
+                if best == -np.inf:  # fewer than K + 1 met so far
+                    depth -= 1
+                    continue
                 needed = self.deepest(best, log[k])
                 if depth <= needed:
                     break
