@@ -515,7 +515,7 @@ def return_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(dataflow.return_registers(flows_), "returns")
 
 
-@query("""with c as (select l_orderkey as f, l_linenumber * 16 as start, l_returnflag as r, case when l_suppkey % 4 > 0 then l_suppkey end as next, l_partkey as p from lineitem)
+@query("""with c as (select l_orderkey as f, (l_linenumber * 16)::bigint as start, l_returnflag as r, case when l_suppkey % 4 > 0 then l_suppkey end as next, l_partkey as p from lineitem)
   select f as function_id, start, next as target, case r when 'R' then 'Ijk_Call' when 'A' then 'Ijk_Ret' else 'Ijk_Boring' end as jumpkind from c union all select f, start, p, 'Ijk_Boring' from c where p % 2 = 0
   union all select f, start, start + 12, 'Ijk_AssumedRet' from c where r = 'R' and next is not null and next % 10 <> 3""")
 def block_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -849,7 +849,7 @@ def symbols_by_name_and_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with n as (select o_orderkey as k, '/new/' || o_orderkey as path from orders where o_orderkey % 3 = 0), c as (select l_orderkey, count(*) as c from lineitem group by 1)
-  select 'binaries' as kind, (select count(*) from n) + (select count(*) from orders) as n union all select 'functions', (select count(*) from lineitem) + (select sum(c) from c join n on k = l_orderkey)""")
+  select 'binaries' as kind, ((select count(*) from n) + (select count(*) from orders))::bigint as n union all select 'functions', ((select count(*) from lineitem) + (select sum(c) from c join n on k = l_orderkey))::bigint""")
 def analysed_binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third order comes as an analysed binary of a new path with its lines nested; how many rows the store then has."""
     stored = binaries(spark, sf_dir).withColumn("id", F.col("id").cast("long"))
