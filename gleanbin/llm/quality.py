@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-A rule reads measures of the text. Where documents are filtered, a measure is part of the rule's own expression, and the
-rules stand in one CASE: a text that one of them rejects meets no later one, and what only later ones read of it is never
-computed. Their order comes from a sample: each rule's selectivity is counted on it, its cost is summed from the sizes of
+A rule reads measures of the text. Where documents are filtered, a text's words are cut once, every other measure is part of
+the rule's own expression, and the rules stand in one CASE: a text that one of them rejects meets no later one, and what
+only later ones read of it is never computed. Their order comes from a sample: each rule's selectivity is counted on it, its cost is summed from the sizes of
 the sample's texts at the rule's price per character, line and word (PRICES, measured once on one core), and rules go by
 smoothed rejection per cost. So costs are those of rows, not of a job's start, and the order is the same in every run. The
 order moves time only: what is kept is the same in any order; rejected_by names the first rule met.
@@ -98,6 +98,18 @@ class OfRow(OfText):
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines = (property(lambda self, m=m: F.col(f"_{m}")) for m in [*MEASURES, "n_lines"])
 
 
+class OfWords(OfText):
+    """The same where a text's words, their number and characters are at hand."""
+
+    def __init__(self, text: Column, all_words: Column, base: Column):
+        super().__init__(text)
+        self.all_words, self.base = all_words, base
+
+    n_words = property(lambda self: self.base["n_words"])
+    word_chars = property(lambda self: self.base["word_chars"])
+    n_repeat_words = property(lambda self: let(F.transform(self.all_words, lambda w: F.xxhash64(w)), _repeated).cast("long"))
+
+
 @dataclass(frozen=True)
 class Rule:
     """Rejects where the condition on the measures holds; reads: the measures it computes, the dear ones last."""
@@ -152,6 +164,16 @@ def verdict(rules: list[Rule], m: OfText) -> Column:
     return case.otherwise(None) if rules else F.lit(None).cast("string")
 
 
+def first_rejecting(text: Column, ordered: list[Rule]) -> Column:
+    """verdict() of a text: its words, which most rules read, are cut once; all else is computed as rules are met."""
+
+    def judged(w: Column) -> Column:
+        base = F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"))
+        return let(base, lambda b: verdict(ordered, OfWords(text, w, b)))
+
+    return let(words(text), judged)
+
+
 def measured(documents: DataFrame) -> DataFrame:
     """doc_id, _text (null: empty), and as columns MEASURES and n_lines of every row."""
     start = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
@@ -182,8 +204,7 @@ def kept_documents(documents: DataFrame, rules: list[Rule] = RULES) -> DataFrame
     """The rows that no rule rejects, with their own columns."""
     ordered = order(documents.select("doc_id", "text"), [*BASE, *rules])
     rows, names = shielded(documents)
-    text = F.coalesce(F.col(names["text"]), F.lit(""))
-    return restored(rows.where(verdict(ordered, OfText(text)).isNull()), names)
+    return restored(rows.where(first_rejecting(F.coalesce(F.col(names["text"]), F.lit("")), ordered).isNull()), names)
 
 
 ORACLE = r"""
