@@ -129,10 +129,16 @@ def unique_graphs(hashes: DataFrame) -> DataFrame:
 
 
 def wl_kernel(a: DataFrame, b: DataFrame) -> DataFrame:
-    """similarity: the cosine of two graphs' label histograms (label)."""
-    h = a.groupBy("label").agg(F.count("*").alias("x")).join(b.groupBy("label").agg(F.count("*").alias("y")), "label", "full_outer")
-    x, y = F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))
-    return h.agg(F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x) * F.sum(y * y))).alias("similarity"))
+    """similarity: the cosine of two graphs' label histograms (label). A missing label is one of them; NaN if one graph is empty.
+
+    Counts multiply as doubles: a long overflows at products of sums of some 50,000 nodes a label.
+    """
+    one, none = F.lit(1), F.lit(None).cast("int")
+    each = a.select("label", one.alias("x"), none.alias("y")).union(b.select("label", none.alias("x"), one.alias("y")))
+    h = each.groupBy("label").agg(F.count("x").cast("double").alias("x"), F.count("y").cast("double").alias("y"))
+    total = lambda x, y: F.sum(F.col(x) * F.col(y))
+    norm = F.sqrt(total("x", "x") * total("y", "y"))
+    return h.agg(F.when(norm == 0, F.lit(float("nan"))).otherwise(F.try_divide(total("x", "y"), norm)).alias("similarity"))
 
 
 def degree_profile(edges: DataFrame) -> DataFrame:

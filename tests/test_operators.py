@@ -85,6 +85,15 @@ def test_components_and_kernel(spark):
     assert graph.wl_kernel(h, h).first()[0] == pytest.approx(1)
 
 
+def test_kernel_of_large_graphs_and_missing_labels(spark):
+    many = spark.range(200_000).select(F.when(F.col("id") % 4 > 0, "x").otherwise("y").alias("label"))  # 150,000 x, 50,000 y
+    assert graph.wl_kernel(many, many).first()[0] == pytest.approx(1)
+    one = spark.createDataFrame([("x",), (None,)], "label string")
+    assert graph.wl_kernel(one, one).first()[0] == pytest.approx(1)
+    assert math.isnan(graph.wl_kernel(one, one.where("false")).first()[0])
+    assert graph.wl_kernel(one.where("false"), one.where("false")).first()[0] is None
+
+
 def test_taint_closure_is_order_free(spark):
     flows = [("f", "rdi", "g", "rsi"), ("g", "rsi", "h", "rdx"), ("h", "rdx", "f", "rdi")]
     a = graph.taint_closure(spark.createDataFrame(flows, "func string, arg string, callee string, reg string"))
