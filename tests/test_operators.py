@@ -361,6 +361,59 @@ def test_approximate_neighbours_are_mostly_the_exact_ones(spark, smallest):
     assert len(exact & near) >= 0.7 * len(exact)
 
 
+def shuffled(spark):
+    """Rows written to exchanges so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_approximate_neighbours_make_no_rows_of_pairs(spark, smallest):
+    import __spark_entry__
+
+    e = spark.read.parquet(f"{smallest}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    exact = {(r["query"], r["id"]) for r in knn.nearest(e.where("id % 100 = 0"), e, 8, same=True).collect()}
+    near = {(r["query"], r["id"]) for r in __spark_entry__.queries()["lsh_neighbours"](spark, smallest).collect()}
+    assert len(near) == 5 * 8 and len(exact & near) >= 0.9 * len(exact)
+    before = shuffled(spark)
+    assert knn.lsh_nearest(e, e, 8, width=2.0).count() == 500 * 8
+    assert shuffled(spark) - before < 500 * 500 / 4
+
+
+@pytest.mark.parametrize("tables, width", [(8, 2.0), (2, 0.02), (1, 0.002)])
+def test_approximate_neighbours_are_those_of_shared_buckets(spark, monkeypatch, tables, width):
+    import numpy as np
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import Window as W
+
+    v = np.random.default_rng(4).normal(size=(900, 6))
+    v[100:400] = v[100]  # copies
+    v[400:410] = 3 * v[100]
+    v[5] = 0
+    v[7] = -v[0]
+    kind = "id long, vector array<double>"
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(100, v[100].tolist()), (8, v[8].tolist())], kind)
+    q = e.where("id % 10 = 0")
+    vectors = lambda d: Normalizer(inputCol="v", outputCol="u").transform(d.select("id", array_to_vector("vector").alias("v"))).select("id", "u")
+    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(vectors(e))
+    pairs = model.approxSimilarityJoin(vectors(q), vectors(e), 2.0, "distance").select(F.col("datasetA.id").alias("query"), F.col("datasetB.id").alias("id"), "distance").where("query <> id")
+    want = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))).where("rank <= 8")
+    monkeypatch.setattr(knn, "ASKED", 30)
+    odd = spark.createDataFrame([(1, None), (None, [1.0] * 6), (-10, [None] + [1.0] * 5), (-20, [float("nan")] + [1.0] * 5), (-30, [float("inf")] + [1.0] * 5)], kind)
+    got = knn.lsh_nearest(q.union(odd), odd.union(e), 8, tables, width)
+    columns = ["query", "id", "distance", "rank"]
+    assert rows(got, *columns) == rows(want, *columns) and got.count() > 0
+
+
+def test_approximate_neighbours_of_no_points_and_of_unequal_vectors(spark):
+    e = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0])], "id long, vector array<float>")
+    none = e.where("false")
+    assert [knn.lsh_nearest(*x, 2).count() for x in ((none, e), (e, none), (e, e))] == [0, 0, 2]
+    with pytest.raises(Exception, match="2 components"):
+        knn.lsh_nearest(e, e.union(spark.createDataFrame([(3, [1.0])], e.schema)), 2)
+
+
 def test_node_embedding_equals_the_dense_factorisation(spark):
     import numpy as np
 
